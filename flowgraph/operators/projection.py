@@ -127,11 +127,11 @@ def rows_of_nodes(nodes: DataFrame, node_type: str) -> DataFrame:
 # --------------------------------------------------------------------------- edges
 
 
-def _key(end: Endpoint) -> Column:
+def end_key(end: Endpoint) -> Column:
     return node_key(end.node_type, *end.keys)
 
 
-def _certain(spec: EdgeSpec, end: Endpoint) -> bool:
+def certain(spec: EdgeSpec, end: Endpoint) -> bool:
     """Whether a source row with its key parts present is itself a definition of the node."""
     table, keys = spec.source, end.keys
     if spec.from_nodes:
@@ -163,20 +163,20 @@ def edge_rows(raw: RawTables, spec: EdgeSpec, rows_of: RowsOf) -> DataFrame:
     """Edges of one rule as typed rows: end keys and evidence columns, one row per edge."""
     source = rows_of(spec.source) if spec.from_nodes else raw[spec.source]
     ends = {"src_key": spec.src, "dst_key": spec.dst}
-    needed = [*spec.required, *[k for e in ends.values() if _certain(spec, e) for k in e.keys]]
+    needed = [*spec.required, *[k for e in ends.values() if certain(spec, e) for k in e.keys]]
     source = source.where(present(*dict.fromkeys(needed)))
     readable = _readable(spec)
     if readable and not spec.from_nodes:
         source = source.select(*dict.fromkeys([*spec.src.keys, *spec.dst.keys])).distinct()
     rows = source.select(
-        *[_key(e).alias(name) for name, e in ends.items()],
+        *[end_key(e).alias(name) for name, e in ends.items()],
         *[F.col(c).alias(n) for n, c in spec.evidence.items()],
     )
     if not readable and not spec.from_nodes:  # node rows are one per key already
         rows = rows.groupBy("src_key", "dst_key").agg(F.min(F.struct(*spec.evidence)).alias("e"))
         rows = rows.select("src_key", "dst_key", "e.*")
     for name, end in ends.items():
-        if not _certain(spec, end):
+        if not certain(spec, end):
             known = rows_of(end.node_type).select(F.col("node_key").alias(name))
             rows = rows.join(known, name, "left_semi")
     return rows

@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from ..specs import RAW_TABLES, json_key, promoted_columns, raw_schema
 
+PATTERN = "*.jsonl"
 _BLANKS = " \t\r\n\f\x0b"
 
 
-def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The non-blank lines of all ``*.jsonl`` files directly in ``folder``, as ``payload``."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder)
+def read_lines(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
+    """The non-blank lines of all matching files directly in ``folder``, as ``payload``."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
     return lines.select(F.btrim("value", F.lit(_BLANKS)).alias("payload")).where(F.col("payload") != "")
 
 
@@ -34,12 +35,12 @@ def promote(lines: DataFrame, columns: Iterable[str], mode: str = "FAILFAST") ->
         options["columnNameOfCorruptRecord"] = "_corrupt_record"
         picked.append(F.col("j._corrupt_record"))
     parsed = F.from_json("payload", T.StructType(fields), options)
-    return lines.withColumn("j", parsed).select("payload", *picked)
+    return lines.withColumn("j", parsed).select(*lines.columns, *picked)
 
 
-def _has_files(spark: SparkSession, folder: str) -> bool:
+def _has_files(spark: SparkSession, folder: str, pattern: str) -> bool:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/*.jsonl")
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(path)
     return found is not None and len(found) > 0
@@ -49,12 +50,14 @@ def empty_raw(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], raw_schema(table))
 
 
-def read_raw_table(spark: SparkSession, dataset_dir: str, table: str, mode: str = "FAILFAST") -> DataFrame | None:
-    """One raw table with row ids from 0; None if the folder is absent or holds no ``.jsonl`` file."""
+def read_raw_table(
+    spark: SparkSession, dataset_dir: str, table: str, mode: str = "FAILFAST", pattern: str = PATTERN
+) -> DataFrame | None:
+    """One raw table with row ids from 0; None if the folder is absent or holds no matching file."""
     folder = f"{dataset_dir.rstrip('/')}/{table}"
-    if not _has_files(spark, folder):
+    if not _has_files(spark, folder, pattern):
         return None
-    rows = promote(read_lines(spark, folder), promoted_columns(table), mode)
+    rows = promote(read_lines(spark, folder, pattern), promoted_columns(table), mode)
     return rows.select(F.monotonically_increasing_id().alias("row_id"), *rows.columns)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators.projection import build_edges, build_nodes, insert_new
 from ..specs import EDGE_SCHEMA, NODE_SCHEMA, RAW_TABLES, raw_schema
-from .jsonl import read_raw_table
+from .jsonl import PATTERN, read_raw_table
 
 # Partition columns of the graph tables: every query selects by type.
 PARTITIONED_BY = {"graph_nodes": "node_type", "graph_edges": "edge_type"}
@@ -59,6 +59,7 @@ def load_raw(
     only: Iterable[str] | None = None,
     truncate: bool = True,
     raw_db: str = "raw",
+    pattern: str = PATTERN,
 ) -> DataFrame:
     """Load JSON-lines folders into the raw tables; returns the load audit.
 
@@ -73,7 +74,7 @@ def load_raw(
             continue
         name = f"{raw_db}.{table}"
         ensure_table(spark, name, raw_schema(table))
-        rows = read_raw_table(spark, dataset_dir, table)
+        rows = read_raw_table(spark, dataset_dir, table, pattern=pattern)
         if rows is None:
             audit.append((table, "skip", 0, spark.table(name).count()))
             continue
