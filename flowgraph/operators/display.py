@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import format_cell, format_value
+from ..specs import EDGE_SPECS, NODE_SPECS
 from .registry import GRANULAR_CODES, codes_for_ids
 from .traversal import with_degrees
 
@@ -49,15 +50,25 @@ def mapping_filter(
     return nodes.join(ids.distinct(), "node_id", "left_semi"), kept
 
 
-def relevance(name: Column) -> Column:
-    """Sum of the scores whose substrings occur in the attribute name."""
-    low = F.lower(name)
+def relevance(low: Column) -> Column:
+    """Sum of the scores whose substrings occur in the lower-cased attribute name."""
     total = F.lit(0)
     for score, words in RELEVANCE:
         total = total + F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), score).otherwise(0)
     return total
 
 
+def score_of(name: str) -> int:
+    return sum(score for score, words in RELEVANCE if any(w in name.lower() for w in words))
+
+
+def _known_scores() -> Column:
+    """Scores of the attribute names the graph uses, so that they are looked up, not searched again per row."""
+    specs = [s.attr_names for s in NODE_SPECS.values()] + [list(s.evidence) for s in EDGE_SPECS.values()]
+    names = sorted({n for names in specs for n in names})
+    return F.expr("map(" + ", ".join(f"'{n}', {score_of(n)}" for n in names) + ")")
+
+
 def relevant_attrs(df: DataFrame, json_column: str, max_items: int) -> DataFrame:
     """Add ``items``: the most relevant attributes of a JSON column as ``array<struct<score, key, value>>``.
 
@@ -65,7 +76,6 @@ def relevant_attrs(df: DataFrame, json_column: str, max_items: int) -> DataFrame
     none has one.  Score descending, then name.  It stays within the row: no
     explode, no shuffle.
     """
-    entries = F.map_entries(F.from_json(json_column, "map<string,variant>"))
     kind = "schema_of_variant(e.value)"
     parts = "CAST(e.value AS array<string>)"
     text = (
@@ -73,26 +83,35 @@ def relevant_attrs(df: DataFrame, json_column: str, max_items: int) -> DataFrame
         f" WHEN size({parts}) <= 6 THEN concat('[', array_join({parts}, ', ', ''), ']')"
         f" ELSE concat('[', size({parts}), ' items]') END"
     )
-    shown = df.withColumn("_e", entries).withColumn("_t", F.expr(f"transform(_e, e -> struct(e.key AS key, {text} AS value))"))
+    with_arrays = (
+        f"transform(map_entries(from_json({json_column}, 'map<string,variant>')),"
+        f" e -> struct(e.key AS key, {text} AS value))"
+    )
+    # Only objects that may hold an array need their values' types looked at.
+    plain = f"map_entries(from_json({json_column}, 'map<string,string>'))"
+    entries = f"CASE WHEN {json_column} RLIKE ':\\\\s*\\\\[' THEN {with_arrays} ELSE {plain} END"
+    shown = df.withColumn("_t", F.expr(entries))
     filled = F.filter("_t", lambda e: (e["key"] != "") & ~e["value"].isin("", "null", "undefined"))
+    lowered = F.transform(filled, lambda e: F.struct(F.lower(e["key"]).alias("l"), e["key"].alias("key"), e["value"].alias("value")))
+    known = _known_scores()
     scored = F.transform(
-        filled,
-        lambda e: F.struct(
-            (-relevance(e["key"])).alias("o"), F.lower(e["key"]).alias("l"), e["key"].alias("key"), e["value"].alias("value")
-        ),
+        lowered,
+        lambda e: F.struct((-F.coalesce(F.try_element_at(known, e["key"]), relevance(e["l"]))).alias("o"), e.alias("e")),
     )
-    ordered = shown.withColumn("_s", F.array_sort(scored))
+    ordered = shown.withColumn("_s", F.sort_array(scored))
     chosen = F.expr("slice(if(get(_s, 0).o < 0, filter(_s, e -> e.o < 0), _s), 1, %d)" % max_items)
-    items = F.transform(chosen, lambda e: F.struct((-e["o"]).alias("score"), e["key"].alias("key"), e["value"].alias("value")))
-    return ordered.withColumn("items", items).drop("_e", "_t", "_s")
+    items = F.transform(
+        chosen, lambda e: F.struct((-e["o"]).alias("score"), e["e"]["key"].alias("key"), e["e"]["value"].alias("value"))
+    )
+    return ordered.withColumn("items", items).drop("_t", "_s")
 
 
 def attr_relevance(df: DataFrame, id_column: str, json_column: str, max_items: int) -> DataFrame:
     """``relevant_attrs`` as rows: id, rank from 1, score, key, value."""
     picked = relevant_attrs(df.select(id_column, json_column), json_column, max_items)
-    return picked.select(id_column, F.posexplode("items").alias("pos", "i")).select(
-        id_column, (F.col("pos") + 1).alias("rank"), "i.score", "i.key", "i.value"
-    )
+    # The outer form keeps Spark from filtering on the list first, which would build it twice.
+    rows = picked.select(id_column, F.posexplode_outer("items").alias("pos", "i")).where("pos IS NOT NULL")
+    return rows.select(id_column, (F.col("pos") + 1).alias("rank"), "i.score", "i.key", "i.value")
 
 
 def node_cards(nodes: DataFrame, edges: DataFrame) -> DataFrame:

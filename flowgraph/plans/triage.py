@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.values import strip_text
 from ..operators.projection import RawTables
 from ..operators.ranking import top_n_per_group
+from ..session import materialise
 from .templates import TEMPLATE_LIMITS, billing_document_to_journal_entry, broken_flows, top_products_by_billing_docs
 
 # Keywords of the domain, id patterns, and the texts of answers.
@@ -239,6 +240,8 @@ def answer(triaged: DataFrame, raw: RawTables | None) -> DataFrame:
         ids = "struct<focusNodeId:string,highlightNodeIds:array<string>,highlightEdgeIds:array<string>>"
         return _finish(out.withColumn("highlights", F.lit(None).cast(ids)))
 
+    # The texts are read once: what follows works on the narrow routing result.
+    triaged = materialise(triaged.drop("text", "params", "limit"), "triaged")
     fixed = F.broadcast(fixed_answers(raw).select("template", F.struct(*RESULT_COLUMNS).alias("fixed")))
     documents = triaged.where(F.col("billing_document").isNotNull())
     by_document = journal_answers(documents, raw).select(
