@@ -23,6 +23,9 @@ def read_lines(spark: SparkSession, folder: str, pattern: str = PATTERN) -> Data
 def promote(lines: DataFrame, columns: Iterable[str], mode: str = "FAILFAST") -> DataFrame:
     """Add the promoted columns, all text, from one parse of ``payload``.
 
+    Text values come out as they are; JSON *numbers* in Spark's notation
+    (``1.50`` as ``1.5``), while ``payload`` keeps the original.
+
     ``FAILFAST`` stops at malformed JSON, ``PERMISSIVE`` keeps the line in
     ``_corrupt_record`` with NULL columns.
     """
