@@ -16,7 +16,7 @@ ID_NAMESPACE = "4c4d9c7f-8b3d-4f57-8c1d-5d7d1f0f2a11"
 
 def uuid5(name: str, namespace: str = ID_NAMESPACE) -> Column:
     """Name-based UUID (RFC 4122 version 5) of a text expression, from built-in functions; NULL in, NULL out."""
-    digest = f"sha1(concat(X'{namespace.replace('-', '')}', encode({name}, 'UTF-8')))"
+    digest = f"sha1(concat(X'{namespace.replace('-', '')}', CAST({name} AS BINARY)))"
     # The two top bits of hex digit 17 are set to '10': 0-f become 8, 9, a, b in turn.
     variant = f"substring('{'89ab' * 4}', instr('0123456789abcdef', substring({digest}, 17, 1)), 1)"
     return F.expr(

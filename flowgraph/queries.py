@@ -183,7 +183,7 @@ def edge_counts(spark, sf):
 @query
 def product_label_fallback(spark, sf):
     raw = RoleTables(spark, sf)
-    return projection.product_labels(projection.node_rows(raw, "Product"), raw).select("product", "label")
+    return projection.product_labels(projection.node_rows(raw, "Product", ["product"]), raw).select("product", "label")
 
 
 @query
