@@ -45,8 +45,9 @@ def broken_flows(raw: RawTables, limit: int | None = None) -> DataFrame:
     billed = (
         raw["billing_document_items"]
         .where("reference_sd_document IS NOT NULL")
-        .select(F.col("reference_sd_document").alias("delivery"), F.lit(True).alias("is_billed"))
+        .select(F.col("reference_sd_document").alias("delivery"))
         .distinct()
+        .withColumn("is_billed", F.lit(True))  # after the distinct, whose partitioning the join then reuses
     )
     flags = (
         pairs.join(billed, "delivery", "left")

@@ -22,6 +22,22 @@ _ACCOUNTING = "CAST(940000000 + o_orderkey AS STRING)"
 
 _LINE_ITEM = "lpad(CAST(l_linenumber AS STRING), 6, '0')"
 
+
+def _journal_item(item: str, above: int) -> str:
+    """Journal items of finished orders; orders of a high value have a second one."""
+    return f"""
+SELECT '1000' AS company_code,
+  CAST(year(o_orderdate) + CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END AS STRING) AS fiscal_year,
+  {_ACCOUNTING} AS accounting_document, '{item}' AS accounting_document_item,
+  {_BILLING.format('o_orderkey')} AS reference_document, CAST(o_custkey AS STRING) AS customer,
+  'INR' AS transaction_currency, {_MONEY.format('o_totalprice')} AS amount_in_transaction_currency,
+  {_DAY.format('o_orderdate')} AS posting_date, {_DAY.format('o_orderdate')} AS clearing_date,
+  CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE CAST(1400000000 + o_custkey AS STRING) END
+    AS clearing_accounting_document,
+  CAST(year(o_orderdate) AS STRING) AS clearing_doc_fiscal_year
+FROM {{orders}} WHERE o_orderstatus = 'F' AND o_totalprice > {above}"""
+
+
 ROLE_SQL: dict[str, str] = {
     "sales_order_headers": f"""
 SELECT CAST(o_orderkey AS STRING) AS sales_order, CAST(o_custkey AS STRING) AS sold_to_party,
@@ -59,19 +75,7 @@ SELECT {_BILLING.format('l_orderkey')} AS billing_document, CAST(l_linenumber AS
   'INR' AS transaction_currency, {_DELIVERY} AS reference_sd_document,
   CAST(l_linenumber AS STRING) AS reference_sd_document_item
 FROM {{lineitem}} WHERE l_linestatus = 'F' AND l_returnflag <> 'R'""",
-    "journal_entry_items_accounts_receivable": f"""
-SELECT '1000' AS company_code,
-  CAST(year(o_orderdate) + CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END AS STRING) AS fiscal_year,
-  {_ACCOUNTING} AS accounting_document, i.item AS accounting_document_item,
-  {_BILLING.format('o_orderkey')} AS reference_document, CAST(o_custkey AS STRING) AS customer,
-  'INR' AS transaction_currency, {_MONEY.format('o_totalprice')} AS amount_in_transaction_currency,
-  {_DAY.format('o_orderdate')} AS posting_date, {_DAY.format('o_orderdate')} AS clearing_date,
-  CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE CAST(1400000000 + o_custkey AS STRING) END
-    AS clearing_accounting_document,
-  CAST(year(o_orderdate) AS STRING) AS clearing_doc_fiscal_year
-FROM {{orders}} JOIN (SELECT '1' AS item, 0 AS above UNION ALL SELECT '2' AS item, 300000 AS above) i
-  ON o_totalprice > i.above
-WHERE o_orderstatus = 'F'""",
+    "journal_entry_items_accounts_receivable": f"{_journal_item('1', 0)} UNION ALL {_journal_item('2', 300000)}",
     "payments_accounts_receivable": f"""
 SELECT '1000' AS company_code, CAST(year(ts) AS STRING) AS clearing_doc_fiscal_year,
   CAST(1400000000 + user_id AS STRING) AS clearing_accounting_document,
