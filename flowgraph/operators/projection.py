@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import edge_key, node_key, node_key_sql, uuid5
 from ..functions.values import fill_template, json_object, present
-from ..specs import EDGE_SCHEMA, EDGE_SPECS, NODE_SCHEMA, NODE_SPECS, EdgeSpec, Endpoint, NodeSource, NodeSpec
+from ..specs import EDGE_SPECS, NODE_SPECS, EdgeSpec, Endpoint, NodeSource, NodeSpec
 
 RawTables = Mapping[str, DataFrame]
 RowsOf = Callable[[str, tuple[str, ...]], DataFrame]
@@ -248,7 +248,3 @@ def merge_rows(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def type_counts(rows: DataFrame, column: str) -> DataFrame:
     """Rows per node or edge type, most frequent first."""
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
-
-
-NODE_COLUMNS = NODE_SCHEMA.fieldNames()
-EDGE_COLUMNS = EDGE_SCHEMA.fieldNames()

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import uuid5
 from ..session import materialise
 from .ranking import top_n_per_group
 from .registry import resolve_codes, with_type_id
@@ -263,8 +262,3 @@ def full_subgraph(
 def focus_subgraph(nodes: DataFrame, edges: DataFrame, focus: DataFrame, **request) -> tuple[DataFrame, DataFrame]:
     """Expansion around a focused node with the preset 3 hops, 300 nodes, 800 edges."""
     return subgraph(nodes, edges, focus, max_hops=3, max_nodes=300, max_edges=800, **request)
-
-
-def key_ids(keys: DataFrame) -> DataFrame:
-    """Ids of node keys without a lookup, as ids are functions of keys."""
-    return keys.select(uuid5("node_key").alias("node_id"))
