@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm.common import table
+from flowgraph.llm.common import importable, table
 from flowgraph.llm.exact_dedup import exact_dedup
+from flowgraph.llm.pii import redact, train
 from flowgraph.llm.quality import quality
+from flowgraph.llm.simhash import one_of_each
+from flowgraph.llm.tokens import pack_digest
 from flowgraph.session import materialise
 
 
@@ -27,14 +30,36 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup(docs, carry=True).filter("kept").select("_row.*")
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    return one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; personal data in their texts gives way to its kind, and ``n_chars`` follows the text."""
+    clean = redact(docs, train(docs))
+    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return clean.withColumns(changed)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents."""
+    return pack_digest(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_copies),
+    ("simhash_near_dedup", near_copies),
+    ("pii", personal_data),
+    ("packing", packing),
 ]
 
+#: SimHash, the field and the tokenizer can't be expressed in SQL; the tests hold the rows against a plain version.
 ORACLE_SQL = None
 
 
+@importable
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read by the next stage."""
     docs = table(spark, sf_dir, "documents")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +37,19 @@ def lower_ascii(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """In local mode, Python workers find this package wherever the session was started.
+
+    On a cluster the package is installed, or given by ``--py-files``.
+    """
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+        return query(spark, sf_dir)
+
+    return run

@@ -2,41 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-
+from .common import importable
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .pii import op7_pii
 from .quality import OP3_SQL, op3_quality_rules
 from .simhash import op9_simhash
 from .tokens import op6_token_files, op8_packing
 
 
-def _importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """In local mode, Python workers find this package wherever the session was started.
-
-    On a cluster the package is installed, or given by ``--py-files``.
-    """
-
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        context = spark.sparkContext
-        if context.master.startswith("local") and not context.master.startswith("local-cluster"):
-            context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-        return query(spark, sf_dir)
-
-    return run
-
-
-QUERIES = {name: _importable(query) for name, query in {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op3_quality_rules": op3_quality_rules,
-    "op6_token_files": op6_token_files,
-    "op8_packing": op8_packing,
-    "op9_simhash": op9_simhash,
-}.items()}
+QUERIES = {
+    name: importable(query)
+    for name, query in {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op3_quality_rules": op3_quality_rules,
+        "op6_token_files": op6_token_files,
+        "op7_pii": op7_pii,
+        "op8_packing": op8_packing,
+        "op9_simhash": op9_simhash,
+    }.items()
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
