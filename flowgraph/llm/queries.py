@@ -8,6 +8,7 @@ from .pii import op7_pii
 from .quality import OP3_SQL, op3_quality_rules
 from .simhash import op9_simhash
 from .tokens import op6_token_files, op8_packing
+from .url_filter import OP4_SQL, op4_url_filter
 
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     for name, query in {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op4_url_filter": op4_url_filter,
         "op6_token_files": op6_token_files,
         "op7_pii": op7_pii,
         "op8_packing": op8_packing,
@@ -25,4 +27,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op3_quality_rules": OP3_SQL,
+    "op4_url_filter": OP4_SQL,
 }
