@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .common import importable
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .language import op10_language
 from .pii import op7_pii
 from .quality import OP3_SQL, op3_quality_rules
+from .pieces import op2_sentencepiece
 from .simhash import op9_simhash
 from .tokens import op6_token_files, op8_packing
 from .url_filter import OP4_SQL, op4_url_filter
@@ -15,12 +17,14 @@ QUERIES = {
     name: importable(query)
     for name, query in {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filter": op4_url_filter,
         "op6_token_files": op6_token_files,
         "op7_pii": op7_pii,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
+        "op10_language": op10_language,
     }.items()
 }
 

@@ -32,7 +32,54 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
+class Units:
+    """What a worker remembers of units, the parts of texts that recur: a run of numbers for each."""
+
+    def __init__(self, kind: type = np.uint16):
+        self.places: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.uses = np.empty(0, kind), np.zeros(2, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, units: list[str]) -> list[np.ndarray]:
+        """The numbers of new units."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        """Keep only units that were met again since they were learnt or last kept."""
+        kept = [(u, p) for u, p in self.places.items() if not u or self.uses[p] > 1]
+        at = np.array([p for _, p in kept])
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
+        self.starts = np.concatenate([[0], ends])
+        self.places = {u: i for i, (u, _) in enumerate(kept)}
+        self.uses = np.zeros(len(kept), np.int64)
+
+    def rows(self, cut: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all units of lists of units, in one array, and the end of each list in it."""
+        if len(self.places) > MEMORY_UNITS:
+            self.forget()
+        sizes = pc.list_value_length(cut).to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        units, new = np.empty(len(coded.dictionary), np.int64), []
+        for i, u in enumerate(coded.dictionary.to_pylist()):
+            if (place := self.places.get(u)) is None:
+                place = self.places[u] = len(self.places)
+                new.append(u)
+            units[i] = place
+        if new:
+            found = self.learn(new)
+            self.flat = np.concatenate([self.flat, *found])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.uses[units] += 1
+        units = units[coded.indices.to_numpy()]
+        lengths = self.starts[units + 1] - self.starts[units]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[units] - ends[:-1], lengths)]
+        return flat, ends[np.cumsum(sizes)]
+
+
+class Encoder(Units):
     """Ids of texts by a byte-level BPE file of the ``tokenizers`` library.
 
     Merges never cross the places where the vocabulary's pattern cuts a text, and it always cuts before a single
@@ -46,6 +93,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size()
@@ -59,25 +107,11 @@ class Encoder:
         hidden = [b for b in range(256) if b not in shown]
         self.char_of = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], dtype=np.int64)
-        self.places: dict[str, int] = {"": 0}
-        self.flat, self.starts, self.uses = np.empty(0, np.uint16), np.zeros(2, np.int64), np.zeros(1, np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _forget(self) -> None:
-        """Keep only units that were met again since they were learnt or last kept."""
-        old = self.places
-        kept = [(u, p) for u, p in old.items() if not u or self.uses[p] > 1]
-        at = np.array([p for _, p in kept])
-        lengths = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(lengths)
-        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
-        self.starts = np.concatenate([[0], ends])
-        self.places = {u: i for i, (u, _) in enumerate(kept)}
-        self.uses = np.zeros(len(kept), np.int64)
-
-    def _learn(self, units: list[str]) -> None:
+    def learn(self, units: list[str]) -> list[np.ndarray]:
         """Ids of new units. Words, and words with one mark behind, are cut here; the library cuts all others."""
         words, cut, other = [], [], []
         for i, u in enumerate(units):
@@ -101,18 +135,13 @@ class Encoder:
             bounds = np.searchsorted(np.cumsum(self.bytes_of[run]), sizes) + 1
             for i, ids in zip(words[at : at + 2000], np.split(run, bounds[:-1]), strict=True):
                 found[i] = ids
-        lengths = np.array([len(x) for x in found])
-        self.flat = np.concatenate([self.flat, *found])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.uses = np.concatenate([self.uses, np.zeros(len(units), np.int64)])
+        return found
 
     def encode(self, batch: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text; the caller bounds the batch (see ``steps``)."""
         batch = batch if isinstance(batch, pa.Array) else pa.array(batch, pa.large_string())
         if not len(batch):
             return []
-        if len(self.places) > MEMORY_UNITS:
-            self._forget()
         whole = pc.match_substring_regex(batch, self.OTHER)
         out: list[np.ndarray] = [None] * len(batch)
         at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
@@ -123,22 +152,8 @@ class Encoder:
             return out
         plain = pc.replace_substring(batch.take(pa.array(rows)), " ", "\x00 ")
         cut = pc.split_pattern(pc.replace_substring(plain, "\n", "\x00\n\x00"), "\x00")
-        sizes = pc.list_value_length(cut).to_numpy()
-        coded = cut.flatten().dictionary_encode()
-        units, new = np.empty(len(coded.dictionary), np.int64), []
-        for i, u in enumerate(coded.dictionary.to_pylist()):
-            if (place := self.places.get(u)) is None:
-                place = self.places[u] = len(self.places)
-                new.append(u)
-            units[i] = place
-        if new:
-            self._learn(new)
-        self.uses[units] += 1
-        units = units[coded.indices.to_numpy()]
-        lengths = self.starts[units + 1] - self.starts[units]
-        ends = np.cumsum(lengths)
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[units] - (ends - lengths), lengths)]
-        for i, ids in zip(rows, np.split(flat, ends[np.cumsum(sizes) - 1][:-1]), strict=True):
+        flat, ends = self.rows(cut)
+        for i, ids in zip(rows, np.split(flat, ends[:-1]), strict=True):
             out[i] = ids
         return out
 
