@@ -9,6 +9,7 @@ from .pii import op7_pii
 from .quality import OP3_SQL, op3_quality_rules
 from .pieces import op2_sentencepiece
 from .simhash import op9_simhash
+from .suffix_dedup import op5_suffix_dedup
 from .tokens import op6_token_files, op8_packing
 from .url_filter import OP4_SQL, op4_url_filter
 
@@ -20,6 +21,7 @@ QUERIES = {
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filter": op4_url_filter,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_token_files": op6_token_files,
         "op7_pii": op7_pii,
         "op8_packing": op8_packing,
