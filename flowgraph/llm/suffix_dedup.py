@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,36 +27,35 @@ from .common import partitions, table, texts
 
 LENGTH, SEED = 100, 32
 #: Bytes of a unit, on average, and of a stretch of text whose parts are found at a time.
-UNIT_BYTES, CHUNK = 2 << 20, 1 << 20
+UNIT_BYTES, CHUNK = 2 << 20, 1 << 17
 #: A part is frequent from so many occurrences on; its strings are then dealt by parts that so many starts share.
 FREQUENT, NARROW = 1_000, 10
 #: Text that one transform holds, if the strings of one part do not need more.
-TRANSFORM_BYTES = 2 << 20
+TRANSFORM_BYTES = 256 << 10
 #: Intervals are expanded from the strings of so many characters on, which are told apart directly.
 GRAM = 8
-_PLACE_BITS = np.uint64(22)
+_PLACE_BITS = np.uint64(18)  # of a place in a chunk
 _SEPARATOR = 0xFF  # no byte of UTF-8
 
-_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-
-
-def _mix(x: np.ndarray, k: np.uint64) -> np.ndarray:
-    x = x * k
-    x ^= x >> np.uint64(32)
-    return x
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
 def part_hashes(data: np.ndarray, size: int = SEED) -> np.ndarray:
-    """A hash of the ``size`` bytes (a multiple of 8) from each place on."""
-    b = data.astype(np.uint64)
-    two = b[:-1] | b[1:] << np.uint64(8)
-    four = two[:-2] | two[2:] << np.uint64(16)
-    eight = four[:-4] | four[4:] << np.uint64(32)
+    """A hash of the ``size`` bytes (a multiple of 8) from each place on: words of 8 bytes, stirred and then added with
+    weights of their own."""
+    word = data.astype(np.uint64)
+    for shift in (1, 2, 4):
+        word = word[:-shift] | word[shift:] << np.uint64(8 * shift)
+    word *= _K[0]
+    word ^= word >> np.uint64(32)
     n = len(data) - size + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(size // 8):
-        out = _mix(out ^ _mix(eight[8 * i : 8 * i + n], _K[i % 4]), _K[(i + 1) % 4])
-    return _mix(out, _K[0])
+    out = word[:n] * _K[1]
+    for i in range(1, size // 8):
+        out += word[8 * i : 8 * i + n] * _K[1 + i % 4]
+    out ^= out >> np.uint64(29)
+    out *= _K[2]
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def stretches(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, seed: int = SEED):
@@ -88,7 +88,10 @@ def stretches(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, seed:
         out.append((first + begin, count, at[first] + begin, hashes[at[first]]))
     if not out:
         return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    first, count, at, part = (np.concatenate(x) for x in zip(*out, strict=True))
+    # The least hashes are all small: stirred again, they deal evenly.
+    part = (part ^ (part >> np.uint64(31))) * _K[4]
+    return first, count, at, part ^ (part >> np.uint64(32))
 
 
 def narrowed(data, first, count, at, length: int = LENGTH, seed: int = SEED):
@@ -151,21 +154,25 @@ def repeated_intervals(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarr
     before = text[order - 1]  # the transform; the first suffix is preceded by the last byte, a separator
     step = np.argsort(before, kind="stable")  # where the suffix without its first character stands
     padded = np.concatenate([text, np.zeros(GRAM, np.uint8)])
-    border = np.zeros(n + 1, bool)
-    border[0] = True
+    border = np.zeros(n, np.int32)
+    border[0] = 1
     gram = min(GRAM, length)
     for i in range(gram):
         letter = padded[order + i]
-        border[1:n] |= letter[1:] != letter[:-1]
-    open_ = np.flatnonzero(~border[:n])
+        border[1:] |= letter[1:] != letter[:-1]
+    open_ = np.flatnonzero(border == 0)
+    low, high = step[open_ - 1], step[open_]
     for _ in range(gram, length):
         if not len(open_):
             break
-        borders = np.cumsum(border[:n], dtype=np.int32)
-        new = borders[step[open_]] > borders[step[open_ - 1]]
-        border[open_[new]] = True
-        open_ = open_[~new]
-    return order, ~border[:n]
+        borders = np.cumsum(border, dtype=np.int32)
+        new = borders[high] > borders[low]
+        if not new.any():
+            break  # no border is left that could give another
+        border[open_[new]] = 1
+        left = ~new
+        open_, low, high = open_[left], low[left], high[left]
+    return order, border == 0
 
 
 def later_strings(content: list[bytes], order_of: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -190,14 +197,19 @@ def later_strings(content: list[bytes], order_of: np.ndarray, length: int = LENG
 # --- Steps on Spark --------------------------------------------------------------------------------------------------
 
 
-def _unit_texts(found: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """A unit's documents by id (null first) and text, their bytes side by side, and where each starts (and the end)."""
-    found = found.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")]) if found.num_rows else found
-    nulls = found.column("doc_id").is_null()
-    found = pa.concat_tables([found.filter(nulls), found.filter(pa.compute.invert(nulls))]) if found.num_rows else found
-    raw = [x.encode() for x in found.column("text").to_pylist()]
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    return found, np.frombuffer(b"".join(raw), np.uint8), starts
+def _unit_texts(found: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A unit's documents by id (null first) and text: their ids, their bytes side by side, and where each starts (and
+    the end)."""
+    if not found.num_rows:
+        return pa.array([], pa.int64()), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    ids, text = (found.column(n).combine_chunks() for n in ("doc_id", "text"))
+    text = text.cast(pa.large_string())
+    order = pc.sort_indices(pa.table({"n": pc.is_valid(ids), "i": ids, "t": text}), [("n", "ascending"), ("i", "ascending"), ("t", "ascending")])
+    ids, text = ids.take(order), text.take(order)
+    starts = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = text.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return ids, data, starts - starts[0]
 
 
 def _parted(keys: np.ndarray, n: int) -> np.ndarray:
@@ -216,6 +228,59 @@ def _column(found: pa.Table, name: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in found.column(name).to_pylist()]
 
 
+def judge_place(found: pa.Table, length: int, transform_bytes: int) -> pa.Table:
+    """Later strings among the stretches that were sent to one place, by unit."""
+    units_of = np.array(found.column("unit").to_pylist())
+    columns = {n: _column(found, n, k) for n, k in (("keys", np.uint64), ("ids", np.int64), ("ordinals", np.uint32), ("firsts", np.int64), ("counts", np.uint8))}
+    unit = np.repeat(units_of, [len(x) for x in columns["keys"]])
+    keys, ids, ordinals, firsts, counts = (np.concatenate(columns[n]) for n in ("keys", "ids", "ordinals", "firsts", "counts"))
+    raw = b"".join(found.column("text").to_pylist())
+    ends = np.cumsum(counts.astype(np.int64) + length - 1)
+    begins = ends - counts - (length - 1)
+    # The order of documents is that of ids, then of places in the unit, which all rows of an id share.
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((firsts, ordinals, ids))] = np.arange(len(keys))
+    # Equal stretches: the first stays, the others are later ones as a whole.
+    low, high = np.frombuffer(b"".join(found.column("digests").to_pylist()), np.uint64).reshape(-1, 2).T
+    by = np.lexsort((rank, high, low, keys))
+    alike = np.ones(max(0, len(by) - 1), bool)
+    for x in (keys, low, high):
+        alike &= x[by][1:] == x[by][:-1]
+    again = np.concatenate([[False], alike])[: len(by)]
+    copies, leads = by[again], by[~again]
+    out = [(unit[copies], ordinals[copies], firsts[copies], counts[copies])]
+    # Parts with different stretches: some of their strings may still be equal.
+    groups = np.split(leads, np.flatnonzero(keys[leads][1:] != keys[leads][:-1]) + 1) if len(leads) else []
+    batch: list[np.ndarray] = []
+    held = 0
+
+    def expand():
+        at = np.concatenate(batch)
+        content = [raw[a:b] for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
+        who, off = later_strings(content, rank[at], length)
+        out.append((unit[at[who]], ordinals[at[who]], firsts[at[who]] + off, np.ones(len(who), np.uint8)))
+
+    for group in groups:
+        if len(group) > 1:
+            batch.append(group)
+            held += int((ends[group] - begins[group] + 1).sum())
+            if held >= transform_bytes:
+                expand()
+                batch, held = [], 0
+    if batch:
+        expand()
+    for i, u in enumerate(units_of.tolist()):
+        own = [np.frombuffer(found.column(n)[i].as_py(), k) for n, k in (("copy_ordinals", np.uint32), ("copy_firsts", np.int64), ("copy_counts", np.uint8))]
+        out.append((np.full(len(own[0]), u), *own))
+    unit, ordinals, firsts, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+    by = np.argsort(unit, kind="stable")
+    names, begin = np.unique(unit[by], return_index=True)
+    cut = lambda x, kind: pa.array([y.astype(kind).tobytes() for y in np.split(x[by], begin[1:])] if len(names) else [], pa.binary())
+    return pa.table(
+        {"unit": pa.array(names, pa.int64()), "ordinals": cut(ordinals, np.uint32), "firsts": cut(firsts, np.int64), "counts": cut(counts, np.uint8)}
+    )
+
+
 def repeated_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
     unit_bytes: int = UNIT_BYTES, frequent: int = FREQUENT, transform_bytes: int = TRANSFORM_BYTES,
@@ -264,7 +329,7 @@ def repeated_spans(
     def send(key, found, said):
         from xxhash import xxh3_128_digest
 
-        found, data, starts = _unit_texts(found)
+        doc_ids, data, starts = _unit_texts(found)
         first, count, at, part = stretches(data, starts, length)
         names = np.unique(part)
         told = np.concatenate([np.frombuffer(x, np.uint8) for x in said.sort_by("place").column("said").to_pylist()] or [np.zeros(0, np.uint8)])
@@ -281,7 +346,7 @@ def repeated_spans(
         fresh = np.zeros(len(first), bool)
         fresh[list({d: i for i, d in reversed(list(enumerate(digests)))}.values())] = True
         owner = np.searchsorted(starts, first, "right") - 1
-        ids = np.array([np.iinfo(np.int64).min if x is None else x for x in found.column("doc_id").to_pylist()], np.int64)
+        ids = np.array([np.iinfo(np.int64).min if x is None else x for x in doc_ids.to_pylist()], np.int64)
         where = _parted(keys, places)
         rows = {n: [] for n in ("place", "unit", "keys", "digests", "ids", "ordinals", "firsts", "counts", "text", "copy_ordinals", "copy_firsts", "copy_counts")}
         by = np.argsort(where, kind="stable")
@@ -306,80 +371,34 @@ def repeated_spans(
         return pa.table({n: pa.array(x, kinds.get(n, pa.binary())) for n, x in rows.items()})
 
     def judge(key, found):
-        units_of = np.array(found.column("unit").to_pylist())
-        columns = {n: _column(found, n, k) for n, k in (("keys", np.uint64), ("ids", np.int64), ("ordinals", np.uint32), ("firsts", np.int64), ("counts", np.uint8))}
-        unit = np.repeat(units_of, [len(x) for x in columns["keys"]])
-        keys, ids, ordinals, firsts, counts = (np.concatenate(columns[n]) for n in ("keys", "ids", "ordinals", "firsts", "counts"))
-        raw = b"".join(found.column("text").to_pylist())
-        ends = np.cumsum(counts.astype(np.int64) + length - 1)
-        begins = ends - counts - (length - 1)
-        # The order of documents is that of ids, then of places in the unit, which all rows of an id share.
-        rank = np.empty(len(keys), np.int64)
-        rank[np.lexsort((firsts, ordinals, ids))] = np.arange(len(keys))
-        # Equal stretches: the first stays, the others are later ones as a whole.
-        low, high = np.frombuffer(b"".join(found.column("digests").to_pylist()), np.uint64).reshape(-1, 2).T
-        by = np.lexsort((rank, high, low, keys))
-        alike = np.ones(max(0, len(by) - 1), bool)
-        for x in (keys, low, high):
-            alike &= x[by][1:] == x[by][:-1]
-        again = np.concatenate([[False], alike])[: len(by)]
-        copies, leads = by[again], by[~again]
-        out = [(unit[copies], ordinals[copies], firsts[copies], counts[copies])]
-        # Parts with different stretches: some of their strings may still be equal.
-        groups = np.split(leads, np.flatnonzero(keys[leads][1:] != keys[leads][:-1]) + 1) if len(leads) else []
-        batch: list[np.ndarray] = []
-        held = 0
-
-        def expand():
-            at = np.concatenate(batch)
-            content = [raw[a:b] for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
-            who, off = later_strings(content, rank[at], length)
-            out.append((unit[at[who]], ordinals[at[who]], firsts[at[who]] + off, np.ones(len(who), np.uint8)))
-
-        for group in groups:
-            if len(group) > 1:
-                batch.append(group)
-                held += int((ends[group] - begins[group] + 1).sum())
-                if held >= transform_bytes:
-                    expand()
-                    batch, held = [], 0
-        if batch:
-            expand()
-        for i, u in enumerate(units_of.tolist()):
-            own = [np.frombuffer(found.column(n)[i].as_py(), k) for n, k in (("copy_ordinals", np.uint32), ("copy_firsts", np.int64), ("copy_counts", np.uint8))]
-            out.append((np.full(len(own[0]), u), *own))
-        unit, ordinals, firsts, counts = (np.concatenate(x) for x in zip(*out, strict=True))
-        by = np.argsort(unit, kind="stable")
-        names, begin = np.unique(unit[by], return_index=True)
-        cut = lambda x, kind: pa.array([y.astype(kind).tobytes() for y in np.split(x[by], begin[1:])] if len(names) else [], pa.binary())
-        return pa.table(
-            {"unit": pa.array(names, pa.int64()), "ordinals": cut(ordinals, np.uint32), "firsts": cut(firsts, np.int64), "counts": cut(counts, np.uint8)}
-        )
+        return judge_place(found, length, transform_bytes)
 
     def cover(key, found, later):
-        found, data, starts = _unit_texts(found)
+        doc_ids, data, starts = _unit_texts(found)
         ordinals = np.concatenate([np.zeros(0, np.uint32), *_column(later, "ordinals", np.uint32)]).astype(np.int64)
         firsts = np.concatenate([np.zeros(0, np.int64), *_column(later, "firsts", np.int64)])
         counts = np.concatenate([np.zeros(0, np.uint8), *_column(later, "counts", np.uint8)]).astype(np.int64)
         begin = starts[ordinals] + firsts
         change = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + counts + length - 1, minlength=len(data) + 1)
         gone = np.cumsum(change)[: len(data)] > 0
-        spans, kept = [], []
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            mask = gone[a:b]
-            if not mask.any():
-                spans.append([])
-                kept.append(data[a:b].tobytes())
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-            spans.append([{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()])
-            kept.append(data[a:b][~mask].tobytes())
+        # Edges of runs; a run never goes on into the next document.
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        heads = starts[:-1][np.diff(starts) > 0]
+        opens[heads] = gone[heads]
+        begins = np.flatnonzero(opens)
+        ends = np.flatnonzero(np.append(opens[1:] | ~gone[1:], True) & gone) + 1 if len(gone) else begins
+        owner = np.searchsorted(starts, begins, "right") - 1
+        spans = pa.StructArray.from_arrays([pa.array(begins - starts[owner]), pa.array(ends - starts[owner])], ["start", "end"])
+        bounds = np.searchsorted(begins, starts)
+        left = np.concatenate([[0], np.cumsum(~gone)])[starts]
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc_ids), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[~gone])])
         return pa.table(
             {
-                "doc_id": found.column("doc_id"),
+                "doc_id": doc_ids,
                 "n_bytes": pa.array(np.diff(starts), pa.int64()),
-                "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                "kept": pa.array(kept, pa.binary()),
+                "spans": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans),
+                "kept": kept.cast(pa.binary()),
             }
         )
 
