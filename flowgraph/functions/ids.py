@@ -7,6 +7,8 @@ call to the JVM instead of one per function.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def uuid5(name: str, namespace: str = ID_NAMESPACE) -> Column:
     )
 
 
+def name_id(name: str) -> str:
+    """The same id of one name, on the driver."""
+    return str(uuid.uuid5(uuid.UUID(ID_NAMESPACE), name))
+
+
 def node_key(node_type: str, *parts: str) -> Column:
     """``Type:k1|k2``; NULL as soon as one part is NULL."""
     return F.expr(node_key_sql(node_type, *parts))

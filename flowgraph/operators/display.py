@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import format_cell, format_value
+from ..session import materialise
 from ..specs import EDGE_SPECS, NODE_SPECS
-from .registry import GRANULAR_CODES, codes_for_ids
+from .registry import codes_for_ids, non_granular
 from .traversal import with_degrees
 
 # Score and the substrings of a lower-cased attribute name that earn it.
@@ -30,7 +31,7 @@ PREVIEW_ROWS = 200
 
 def hide_granular(edges: DataFrame) -> DataFrame:
     """The edges shown while the fine-grained overlay is hidden; nodes are not touched."""
-    return edges.where(~F.col("edge_type").isin(GRANULAR_CODES))
+    return non_granular(edges)
 
 
 def mapping_filter(
@@ -69,12 +70,12 @@ def _known_scores() -> Column:
     return F.expr("map(" + ", ".join(f"'{n}', {score_of(n)}" for n in names) + ")")
 
 
-def relevant_attrs(df: DataFrame, json_column: str, max_items: int) -> DataFrame:
+def relevant_attrs(df: DataFrame, json_column: str, max_items: int | None) -> DataFrame:
     """Add ``items``: the most relevant attributes of a JSON column as ``array<struct<score, key, value>>``.
 
     Empty values are left out; attributes without a score are left out unless
-    none has one.  Score descending, then name.  It stays within the row: no
-    explode, no shuffle.
+    none has one.  Score descending, then name; ``max_items`` None keeps all.
+    It stays within the row: no explode, no shuffle.
     """
     kind = "schema_of_variant(e.value)"
     parts = "CAST(e.value AS array<string>)"
@@ -83,13 +84,10 @@ def relevant_attrs(df: DataFrame, json_column: str, max_items: int) -> DataFrame
         f" WHEN size({parts}) <= 6 THEN concat('[', array_join({parts}, ', ', ''), ']')"
         f" ELSE concat('[', size({parts}), ' items]') END"
     )
-    with_arrays = (
+    entries = (
         f"transform(map_entries(from_json({json_column}, 'map<string,variant>')),"
         f" e -> struct(e.key AS key, {text} AS value))"
     )
-    # Only objects that may hold an array need their values' types looked at.
-    plain = f"map_entries(from_json({json_column}, 'map<string,string>'))"
-    entries = f"CASE WHEN {json_column} RLIKE ':\\\\s*\\\\[' THEN {with_arrays} ELSE {plain} END"
     shown = df.withColumn("_t", F.expr(entries))
     filled = F.filter("_t", lambda e: (e["key"] != "") & ~e["value"].isin("", "null", "undefined"))
     lowered = F.transform(filled, lambda e: F.struct(F.lower(e["key"]).alias("l"), e["key"].alias("key"), e["value"].alias("value")))
@@ -99,14 +97,15 @@ def relevant_attrs(df: DataFrame, json_column: str, max_items: int) -> DataFrame
         lambda e: F.struct((-F.coalesce(F.try_element_at(known, e["key"]), relevance(e["l"]))).alias("o"), e.alias("e")),
     )
     ordered = shown.withColumn("_s", F.sort_array(scored))
-    chosen = F.expr("slice(if(get(_s, 0).o < 0, filter(_s, e -> e.o < 0), _s), 1, %d)" % max_items)
+    scoring = "if(get(_s, 0).o < 0, filter(_s, e -> e.o < 0), _s)"
+    chosen = F.expr(scoring if max_items is None else f"slice({scoring}, 1, {max_items})")
     items = F.transform(
         chosen, lambda e: F.struct((-e["o"]).alias("score"), e["e"]["key"].alias("key"), e["e"]["value"].alias("value"))
     )
     return ordered.withColumn("items", items).drop("_t", "_s")
 
 
-def attr_relevance(df: DataFrame, id_column: str, json_column: str, max_items: int) -> DataFrame:
+def attr_relevance(df: DataFrame, id_column: str, json_column: str, max_items: int | None) -> DataFrame:
     """``relevant_attrs`` as rows: id, rank from 1, score, key, value."""
     picked = relevant_attrs(df.select(id_column, json_column), json_column, max_items)
     # The outer form keeps Spark from filtering on the list first, which would build it twice.
@@ -143,7 +142,11 @@ def format_cells(df: DataFrame, tooltip: bool = False) -> DataFrame:
 
 
 def table_preview(df: DataFrame, order: list[str], max_rows: int = PREVIEW_ROWS) -> DataFrame:
-    """The first rows of a result as text, with its row count and whether more rows exist."""
+    """The first rows of a result as text, with its row count and whether more rows exist.
+
+    The result is written once and read for both, so its source is evaluated once.
+    """
+    df = materialise(df, "preview")
     total = df.agg(F.count("*")).scalar()
     shown = format_cells(df.orderBy(*order).limit(max_rows))
     return shown.withColumn("row_count", total).withColumn("truncated", F.col("row_count") > max_rows)

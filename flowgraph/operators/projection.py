@@ -24,6 +24,9 @@ from ..functions.values import fill_template, json_object, present
 from ..specs import EDGE_SPECS, NODE_SPECS, EdgeSpec, Endpoint, NodeSource, NodeSpec
 
 RawTables = Mapping[str, DataFrame]
+# A source of so few columns is reduced to its different rows before anything is sorted.
+FEW_COLUMNS = 4
+
 RowsOf = Callable[[str, tuple[str, ...]], DataFrame]
 
 
@@ -34,18 +37,22 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 # --------------------------------------------------------------------------- nodes
 
 
-def source_rows(raw: RawTables, spec: NodeSpec, source: NodeSource) -> DataFrame:
-    """Keyed rows of one source, before de-duplication."""
+def source_rows(raw: RawTables, spec: NodeSpec, source: NodeSource, once: bool = False) -> DataFrame:
+    """Keyed rows of one source, before conflicts are resolved.
+
+    ``once`` reduces a source of few columns (a key and little else) to its
+    different rows, by a hash aggregate that combines on the map side.
+    """
     attrs = [f"{source.attrs[a]} AS {a}" if a in source.attrs else f"CAST(NULL AS STRING) AS {a}" for a in spec.attr_names]
-    return (
-        raw[source.table]
-        .where(present(*source.keys))
-        .selectExpr(
-            f"{node_key_sql(spec.node_type, *source.keys)} AS node_key",
-            f"{source.rank} AS source_rank",
-            *attrs,
-            f"'{source.table}' AS raw_table",
-        )
+    rows = raw[source.table].where(present(*source.keys))
+    columns = list(dict.fromkeys([*source.keys, *source.attrs.values()]))
+    if once and len(columns) <= FEW_COLUMNS:
+        rows = rows.select(*columns).distinct()
+    return rows.selectExpr(
+        f"{node_key_sql(spec.node_type, *source.keys)} AS node_key",
+        f"{source.rank} AS source_rank",
+        *attrs,
+        f"'{source.table}' AS raw_table",
     )
 
 
@@ -63,7 +70,7 @@ def node_rows(raw: RawTables, node_type: str, attrs: Iterable[str] | None = None
         fields = ["source_rank", *names, "raw_table"]
     else:
         fields = ["source_rank", *names[: max((names.index(a) + 1 for a in attrs), default=0)]]
-    rows = union_all([source_rows(raw, spec, s) for s in spec.sources])
+    rows = union_all([source_rows(raw, spec, s, once=True) for s in spec.sources])
     winner = F.expr(f"min(struct({', '.join(fields)}))").alias("w")
     return rows.groupBy("node_key").agg(winner).select("node_key", "w.*")
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import ID_NAMESPACE, uuid5
+from ..functions.ids import name_id, uuid5
 from ..specs import EDGE_TYPES
 
 EDGE_TYPE_SCHEMA = (
@@ -18,7 +17,7 @@ EDGE_TYPE_SCHEMA = (
 
 
 def edge_type_id(code: str) -> str:
-    return str(uuid.uuid5(uuid.UUID(ID_NAMESPACE), code))
+    return name_id(code)
 
 
 def edge_type_dim(spark: SparkSession) -> DataFrame:
@@ -56,8 +55,9 @@ def non_granular(edges: DataFrame) -> DataFrame:
 
 
 def with_type_id(edges: DataFrame) -> DataFrame:
-    """Add ``type_id``: the registered id, which is also the name-based id for any other code."""
-    return edges.withColumn("type_id", uuid5("edge_type"))
+    """Add ``type_id``: the registered id, by a map of literals; any other code gets its name-based id."""
+    known = "map(" + ", ".join(f"'{c}', '{edge_type_id(c)}'" for c in CODES) + ")"
+    return edges.withColumn("type_id", F.coalesce(F.expr(f"{known}[edge_type]"), uuid5("edge_type")))
 
 
 def edge_types_present(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ NAMED_SQL: dict[str, str] = {
     "node": "SELECT node_id, node_key, node_type, label, attrs FROM {nodes} WHERE node_id = :node_id",
     "node_id_by_key": "SELECT node_id FROM {nodes} WHERE node_key = :node_key",
     "nodes_by_ids": (
-        "SELECT node_id, node_key, node_type, label, attrs FROM {nodes} WHERE array_contains(:node_ids, node_id)"
+        "SELECT node_id, node_key, node_type, label, attrs FROM {nodes} WHERE node_id IN (:node_ids)"
     ),
     "degrees": (
         "SELECT count_if(dst_node_id = :node_id) AS in_degree, count_if(src_node_id = :node_id) AS out_degree"
@@ -33,16 +33,16 @@ NAMED_SQL: dict[str, str] = {
 def run_named(
     spark: SparkSession, name: str, tables: Mapping[str, DataFrame], params: Mapping[str, object]
 ) -> DataFrame:
-    """Run a registered text over ``tables`` with bound ``params``."""
+    """Run a registered text over ``tables`` with bound ``params``; a list is bound value by value, so that an IN
+    reaches the scan."""
     if name not in NAMED_SQL:
         raise ValueError(f"unknown query: {name!r}")
-    text = NAMED_SQL[name]
-    return spark.sql(text, args=dict(params), **{t: df for t, df in tables.items() if f"{{{t}}}" in text})
-
-
-def register_views(raw: Mapping[str, DataFrame], nodes: DataFrame, edges: DataFrame) -> None:
-    """Expose the raw and graph tables to free SQL as temporary views."""
-    for table, df in raw.items():
-        df.createOrReplaceTempView(table)
-    nodes.createOrReplaceTempView("graph_nodes")
-    edges.createOrReplaceTempView("graph_edges")
+    text, args = NAMED_SQL[name], {}
+    for param, value in params.items():
+        if isinstance(value, (list, tuple)):
+            each = {f"{param}_{i}": v for i, v in enumerate(value or [None])}
+            text = text.replace(f":{param})", ", ".join(f":{p}" for p in each) + ")")
+            args |= each
+        else:
+            args[param] = value
+    return spark.sql(text, args=args, **{t: df for t, df in tables.items() if f"{{{t}}}" in text})

@@ -112,8 +112,9 @@ def billing_document_to_journal_entry(
         rows = rows.select(
             "billingDocument",
             "accountingDocument",
-            F.when(F.col("billing_node"), uuid5("billing_key")).alias("billingDocumentNodeId"),
-            F.when(F.col("journal_node"), uuid5("journal_key")).alias("journalEntryNodeId"),
+            # The condition is on the name: NULL in, NULL out, and the digest is computed once.
+            uuid5("(CASE WHEN billing_node THEN billing_key END)").alias("billingDocumentNodeId"),
+            uuid5("(CASE WHEN journal_node THEN journal_key END)").alias("journalEntryNodeId"),
         )
     else:
         for key, node_type, out in (

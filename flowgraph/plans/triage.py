@@ -183,9 +183,14 @@ def _result(grouped: DataFrame, template: str, document: Column | None = None) -
 
 
 def fixed_answers(raw: RawTables) -> DataFrame:
-    """One row each for the templates without parameters; their limits bound its size."""
-    top = top_products_by_billing_docs(raw, TEMPLATE_LIMITS[TOP])
-    flows = broken_flows(raw, TEMPLATE_LIMITS[FLOWS])
+    """One row each for the templates without parameters; their limits bound its size.
+
+    The whole results are written once; the shown rows and their total number are read from there.
+    """
+    all_top = materialise(top_products_by_billing_docs(raw), "top")
+    all_flows = materialise(broken_flows(raw), "flows")
+    top = all_top.orderBy(F.desc("billingDocumentCount"), F.asc_nulls_last("product")).limit(TEMPLATE_LIMITS[TOP])
+    flows = all_flows.orderBy("salesOrder").limit(TEMPLATE_LIMITS[FLOWS])
     top_rows = top.agg(
         F.expr(
             "transform(array_sort(collect_list(struct(-billingDocumentCount AS o, product IS NULL AS z,"
@@ -193,6 +198,8 @@ def fixed_answers(raw: RawTables) -> DataFrame:
         )
     )
     flow_rows = flows.agg(F.expr("array_sort(collect_list(struct(salesOrder, delivered, billed))) AS rows"))
+    top_rows = top_rows.withColumn("total_count", all_top.agg(F.count("*")).scalar())
+    flow_rows = flow_rows.withColumn("total_count", all_flows.agg(F.count("*")).scalar())
     return _result(top_rows, TOP).unionByName(_result(flow_rows, FLOWS))
 
 
@@ -200,7 +207,8 @@ def journal_answers(documents: DataFrame, raw: RawTables) -> DataFrame:
     """One row per billing document that has a header: ``billing_document`` + result columns.
 
     Rows are cut to the template's limit per document before they are
-    collected, and before any message is joined to them.
+    collected, and before any message is joined to them; their number before
+    the cut is counted.
     """
     wanted = documents.select("billing_document").distinct()
     headers = raw["billing_document_headers"].join(wanted, "billing_document", "left_semi")
@@ -210,6 +218,8 @@ def journal_answers(documents: DataFrame, raw: RawTables) -> DataFrame:
             "journal_entry_items_accounts_receivable": raw["journal_entry_items_accounts_receivable"],
         }
     )
+    found = materialise(found, "links")
+    totals = found.groupBy(F.col("billingDocument").alias("_document")).agg(F.count("*").alias("total_count"))
     order = [F.col("accountingDocument"), F.col("journalEntryNodeId")]
     first = top_n_per_group(found, ["billingDocument"], order, TEMPLATE_LIMITS[JOURNAL])
     names = "billingDocument, accountingDocument, billingDocumentNodeId, journalEntryNodeId"
@@ -219,23 +229,27 @@ def journal_answers(documents: DataFrame, raw: RawTables) -> DataFrame:
             f" r -> struct({', '.join('r.' + n for n in names.split(', '))})) AS rows"
         )
     )
+    rows = rows.join(totals, F.col("billing_document") == F.col("_document")).drop("_document")
     return _result(rows, JOURNAL, F.col("billing_document"))
 
 
-RESULT_COLUMNS = ["answer", "columns", "rows", "row_count", "highlights"]
+RESULT_COLUMNS = ["answer", "columns", "rows", "row_count", "total_count", "highlights"]
 
 
 def answer(triaged: DataFrame, raw: RawTables | None) -> DataFrame:
     """Answers for all messages: ``message_id, template, rejected, rejection_reason, answer, columns, rows,
-    row_count, highlights``.
+    row_count, total_count, highlights``.
 
+    ``row_count`` and the text count the rows shown, up to the template's
+    limit; ``total_count`` counts all. Routing and results are written when
+    this is called.
     With ``raw`` None (nothing loaded) the routed messages are rejected as
     ``data_not_loaded``.
     """
     if raw is None:
         reason = F.coalesce("rejection_reason", F.lit("data_not_loaded"))
         out = triaged.withColumn("rejection_reason", reason).withColumn("rejected", F.lit(True))
-        shape = {"answer": "string", "columns": "array<string>", "rows": "string", "row_count": "int"}
+        shape = {"answer": "string", "columns": "array<string>", "rows": "string", "row_count": "int", "total_count": "bigint"}
         out = out.withColumns({c: F.lit(None).cast(t) for c, t in shape.items()})
         ids = "struct<focusNodeId:string,highlightNodeIds:array<string>,highlightEdgeIds:array<string>>"
         return _finish(out.withColumn("highlights", F.lit(None).cast(ids)))
@@ -276,5 +290,6 @@ def _finish(joined: DataFrame) -> DataFrame:
         F.when(answered, F.coalesce("columns", F.array().cast("array<string>"))).alias("columns"),
         F.when(answered, F.coalesce("rows", F.lit("[]"))).alias("rows"),
         F.when(answered, F.coalesce("row_count", F.lit(0))).alias("row_count"),
+        F.when(answered, F.coalesce("total_count", F.lit(0))).alias("total_count"),
         "highlights",
     )

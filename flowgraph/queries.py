@@ -13,15 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.ids import uuid5
+from .functions.ids import name_id, uuid5
 from .functions.values import present
 from .operators import display, integrity, projection, registry, traversal
 from .operators.projection import build_edges, build_nodes, nodes_of_type, source_rows, union_all
 from .plans import named, templates, triage
 from .session import materialise, scratch_path
-from .sources.jsonl import empty_raw, promote
-from .sources.roles import RoleTables, StarTables, messages
-from .sources.tables import load_raw
+from .sources.jsonl import empty_raw, promote, read_raw
+from .sources.roles import ROLE_SQL, RoleTables, StarTables, messages
+from .sources.tables import LOOKUP, ensure_databases, in_lookup_order, load_raw, write_graph
 from .specs import NODE_SPECS, json_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,12 +30,19 @@ _GRAPHS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The projection of a folder, written to the shared folder when first needed."""
+    """The projection of a folder, written to the shared folder when first needed.
+
+    It is kept for the application, so tables must not change while it runs.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GRAPHS:
         raw = RoleTables(spark, sf_dir)
-        nodes = materialise(build_nodes(raw), "graph_nodes", "node_type")
-        edges = materialise(build_edges(raw, nodes=nodes), "graph_edges", "edge_type")
+        nodes = materialise(
+            in_lookup_order(build_nodes(raw), "graph_nodes"), "graph_nodes", "node_type", LOOKUP["graph_nodes"]
+        )
+        edges = materialise(
+            in_lookup_order(build_edges(raw, nodes=nodes), "graph_edges"), "graph_edges", "edge_type", LOOKUP["graph_edges"]
+        )
         _GRAPHS[key] = (nodes, edges)
     return _GRAPHS[key]
 
@@ -208,24 +215,69 @@ def promote_json(spark, sf):
     return promote(events, ["k"]).select("event_id", "k")
 
 
-@query
-def load_audit(spark, sf):
-    """Write roles as JSON lines, load the folders, and load part of them again in append mode."""
-    raw = RoleTables(spark, sf)
-    folder = scratch_path(spark, "jsonl")
-    loaded = ["billing_document_headers", "payments_accounts_receivable", "products"]
-    for table in loaded:
+def _json_lines(raw: RoleTables) -> str:
+    """All filled roles as folders of JSON lines; the folder's path."""
+    folder = scratch_path(raw.star.spark, "jsonl")
+    for table in ROLE_SQL:
         rows = raw[table].select(*[F.col(c).alias(json_key(c)) for c in raw[table].columns])
         rows.write.json(f"{folder}/{table}", ignoreNullFields=False)
-    db = "raw_" + uuid.uuid4().hex
-    spark.sql(f"CREATE DATABASE `{db}` LOCATION '{folder}-db'")
-    first = load_raw(spark, folder, [*loaded, "plants"], raw_db=db, pattern="*.json")
+    return folder
+
+
+def _own_database(spark: SparkSession, kind: str) -> str:
+    """A database of its own in the scratch folder; the caller drops it."""
+    name = f"{kind}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE `{name}` LOCATION '{scratch_path(spark, name)}'")
+    return name
+
+
+@query
+def load_audit(spark, sf):
+    """Write all filled roles as JSON lines, load the folders, and load part of them again in append mode."""
+    folder = _json_lines(RoleTables(spark, sf))
+    db = _own_database(spark, "raw")
+    first = load_raw(spark, folder, raw_db=db, pattern="*.json")
     again = load_raw(spark, folder, ["products"], truncate=False, raw_db=db, pattern="*.json")
-    return (
+    audit = (
         first.withColumn("load", F.lit("truncate"))
         .unionByName(again.withColumn("load", F.lit("append")))
         .select("load", "table", "status", "inserted", "rows_in_table")
     )
+    spark.sql(f"DROP DATABASE `{db}` CASCADE")  # the audit is a table of its own
+    return audit
+
+
+def _loaded(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return read_raw(spark, _json_lines(RoleTables(spark, sf)), list(ROLE_SQL), pattern="*.json")
+
+
+@query
+def raw_row_ids(spark, sf):
+    """Row ids of the loaded roles: different for each row, none below 0."""
+    counts = [F.count("*").alias("n"), F.countDistinct("row_id").alias("n_ids"), (F.min("row_id") >= 0).alias("from_zero")]
+    return union_all([df.agg(*counts).select(F.lit(t).alias("table"), "*") for t, df in _loaded(spark, sf).items()])
+
+
+@query
+def payload_null_audit(spark, sf):
+    return integrity.payload_null_audit(_loaded(spark, sf))
+
+
+@query
+def graph_rebuild(spark, sf):
+    """Create all tables, rebuild the graph from orders and products alone, then extend it by all roles."""
+    raw = RoleTables(spark, sf)
+    raw_db, graph_db = _own_database(spark, "raw"), _own_database(spark, "graph")
+    ensure_databases(spark, raw_db, graph_db)
+    made = sum(len(spark.catalog.listTables(db)) for db in (raw_db, graph_db))
+    orders = {"sales_order_headers", "sales_order_items", "products"}
+    first = write_graph(spark, {t: raw[t] if t in orders else empty_raw(spark, t) for t in raw}, graph_db)
+    added = write_graph(spark, raw, graph_db, truncate=False)
+    steps = [("create", "tables", made)]
+    steps += [(step, what, n) for step, counts in (("rebuild", first), ("extend", added)) for what, n in counts.items()]
+    for db in (raw_db, graph_db):
+        spark.sql(f"DROP DATABASE `{db}` CASCADE")
+    return spark.createDataFrame(steps, "step string, what string, n bigint")
 
 
 @query
@@ -309,6 +361,54 @@ def node_id_by_key(spark, sf):
     return traversal.node_id_by_key(stored_graph(spark, sf)[0], keys)
 
 
+def _first_orders(spark: SparkSession, sf: str) -> list[str]:
+    """A request's list: the keys of the first 20 orders."""
+    found = StarTables(spark, sf)["orders"].select("o_orderkey").orderBy("o_orderkey").limit(20)
+    return [f"SalesOrder:{r[0]}" for r in found.collect()]
+
+
+def _first_order_ids(spark: SparkSession, sf: str) -> list[str]:
+    return [name_id(k) for k in _first_orders(spark, sf)]
+
+
+@query
+def node_by_id(spark, sf):
+    found = traversal.nodes_by_ids(stored_graph(spark, sf)[0], _first_order_ids(spark, sf))
+    return found.select("node_id", "node_key", "node_type", "label")
+
+
+@query
+def node_detail_by_id(spark, sf):
+    found = traversal.node_details(*stored_graph(spark, sf), _first_order_ids(spark, sf))
+    return found.select("node_id", "node_key", "in_degree", "out_degree", "total_degree")
+
+
+@query
+def node_id_of_keys(spark, sf):
+    return traversal.node_id_by_key(stored_graph(spark, sf)[0], _first_orders(spark, sf))
+
+
+@query
+def neighbors_of_ids(spark, sf):
+    found = traversal.neighbor_edges(stored_graph(spark, sf)[1], _first_order_ids(spark, sf))
+    return found.select("seed_id", "edge_id", "edge_key", "edge_type", "type_id")
+
+
+@query
+def subgraph_of_ids(spark, sf):
+    shown, _ = traversal.subgraph(*stored_graph(spark, sf), _first_order_ids(spark, sf), 2)
+    return shown.select("node_id", "node_key", "in_degree")
+
+
+@query
+def reach_all(spark, sf):
+    """All that hangs together with the first incomplete flows, however many steps away."""
+    nodes, edges = stored_graph(spark, sf)
+    seeds = _broken_seeds(RoleTables(spark, sf), 50)
+    reached = traversal.reach(edges, seeds, None, registry.resolve_codes(include_granular=False))
+    return traversal.nodes_by_ids(nodes, reached).select("node_key")
+
+
 def _neighbors(spark, sf, node_type, **request):
     nodes, edges = stored_graph(spark, sf)
     seeds = nodes.where(F.col("node_type") == node_type)
@@ -406,6 +506,37 @@ def named_edges_of_type(spark, sf):
     )
 
 
+@query
+def named_node(spark, sf):
+    nodes, _ = stored_graph(spark, sf)
+    return named.run_named(spark, "node", {"nodes": nodes}, {"node_id": _first_order_ids(spark, sf)[0]}).select("node_id", "node_key")
+
+
+@query
+def named_node_id_by_key(spark, sf):
+    nodes, _ = stored_graph(spark, sf)
+    return named.run_named(spark, "node_id_by_key", {"nodes": nodes}, {"node_key": _first_orders(spark, sf)[0]})
+
+
+@query
+def named_nodes_by_ids(spark, sf):
+    nodes, _ = stored_graph(spark, sf)
+    found = named.run_named(spark, "nodes_by_ids", {"nodes": nodes}, {"node_ids": _first_order_ids(spark, sf)})
+    return found.select("node_id", "node_key", "node_type", "label")
+
+
+@query
+def named_degrees(spark, sf):
+    _, edges = stored_graph(spark, sf)
+    return named.run_named(spark, "degrees", {"edges": edges}, {"node_id": _first_order_ids(spark, sf)[0]})
+
+
+@query
+def named_deliveries_of_order(spark, sf):
+    raw, order = RoleTables(spark, sf), _first_orders(spark, sf)[0].partition(":")[2]
+    return named.run_named(spark, "deliveries_of_order", raw, {"sales_order": order})
+
+
 # --------------------------------------------------------------------------- audits
 
 
@@ -425,7 +556,7 @@ def audit_unique_constraints(spark, sf):
 
 @query
 def audit_dangling_refs(spark, sf):
-    return integrity.dangling_references(RoleTables(spark, sf))
+    return integrity.dangling_references(RoleTables(spark, sf), stored_graph(spark, sf)[0])
 
 
 def _described(nodes: DataFrame) -> DataFrame:
@@ -472,22 +603,33 @@ def triage_in_domain(spark, sf):
 
 @query
 def triage_route(spark, sf):
-    routed = triage.triage(messages(spark, sf))
+    routed = triage.triage(_all_texts(spark, sf))
     return routed.select("message_id", "template", "billing_document", "limit", "rejected", "rejection_reason")
 
 
+@query
+def triage_params(spark, sf):
+    return triage.triage(_all_texts(spark, sf)).select("message_id", F.to_json("params").alias("params"))
+
+
+@query
+def triage_not_loaded(spark, sf):
+    found = triage.answer(triage.triage(_all_texts(spark, sf)), None)
+    return found.select("message_id", "rejected", "rejection_reason", "answer")
+
+
 @query
 def triage_status(spark, sf):
     return triage.status_counts(triage.triage(_all_texts(spark, sf)))
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
-    return triage.answer(triage.triage(messages(spark, sf)), RoleTables(spark, sf))
+    return triage.answer(triage.triage(_all_texts(spark, sf)), RoleTables(spark, sf))
 
 
 @query
 def triage_answers(spark, sf):
-    return _answers(spark, sf).select("message_id", "template", "rejection_reason", "rows", "row_count")
+    return _answers(spark, sf).select("message_id", "template", "rejection_reason", "rows", "row_count", "total_count")
 
 
 @query
@@ -521,6 +663,13 @@ def mapping_filter(spark, sf):
     return shown.select("node_id", "node_key")
 
 
+@query
+def mapping_filter_edges(spark, sf):
+    nodes, edges = stored_graph(spark, sf)
+    active = registry.ids_for_codes(["POSTED_AS", "CLEARED_BY"])
+    return display.mapping_filter(nodes, edges, active)[1].select("edge_id", "edge_type")
+
+
 @query
 def attr_relevance(spark, sf):
     nodes, _ = stored_graph(spark, sf)

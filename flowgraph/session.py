@@ -8,17 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "flowgraph", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the jobs are tuned for; the cluster's own settings win."""
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    )
+    """A session in UTC, which dates need; all other settings are the cluster's, or ``conf``."""
+    builder = SparkSession.builder.appName(app_name).config("spark.sql.session.timeZone", "UTC")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -33,23 +28,57 @@ def scratch_dir(spark: SparkSession) -> str:
     on a cluster such a folder would be lost with its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    local = sc.master.startswith("local")
     if configured:
+        if not local and _filesystem(spark, configured)[0].getScheme() == "file":
+            raise ValueError(f"{configured} is a folder of one machine; executors elsewhere can't reach it")
         return configured.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     if sc.applicationId not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="flowgraph-")
     return _LOCAL_SCRATCH[sc.applicationId]
 
 
+def _filesystem(spark: SparkSession, path: str):
+    """The file system of a path and the path, as the JVM's objects."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    filesystem, where = _filesystem(spark, path)
+    return filesystem.exists(where)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the scratch folder that no other run uses."""
-    return f"{scratch_dir(spark)}/flowgraph-{uuid.uuid4().hex}/{name}"
+    folder = f"{scratch_dir(spark)}/flowgraph-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Remove this application's intermediate tables; frames that read them can't be used afterwards."""
+    folders = _MADE.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        filesystem, where = _filesystem(spark, folder)
+        filesystem.delete(where, True)
+    return len(folders)
+
+
+def with_bloom_filters(writer, columns: tuple[str, ...]):
+    """Let parquet keep bloom filters of ``columns``, which spare a lookup the files without the value."""
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(
+    df: DataFrame, name: str, partition_by: str | None = None, lookup: tuple[str, ...] = ()
+) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``lookup`` columns get bloom filters.
 
     This cuts the lineage of iterative jobs, survives lost executors, and
     leaves Catalyst with the true size of the table, so that it broadcasts a
@@ -57,7 +86,7 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.mode("errorifexists")
+    writer = with_bloom_filters(df.write.mode("errorifexists"), lookup)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import path_exists
 from ..specs import RAW_TABLES, json_key, promoted_columns, raw_schema
 
 PATTERN = "*.jsonl"
@@ -23,22 +24,41 @@ def read_lines(spark: SparkSession, folder: str, pattern: str = PATTERN) -> Data
 def promote(lines: DataFrame, columns: Iterable[str], mode: str = "FAILFAST") -> DataFrame:
     """Add the promoted columns, all text, from one parse of ``payload``.
 
-    Text values come out as they are; JSON *numbers* in Spark's notation
-    (``1.50`` as ``1.5``), while ``payload`` keeps the original.
+    Text values come out as they are. JSON numbers keep their value: one with
+    a fraction is read again as a decimal (38 digits), so ``1.50`` comes out
+    as ``1.5`` and no digit is rounded away; ``payload`` keeps the original.
 
-    ``FAILFAST`` stops at malformed JSON, ``PERMISSIVE`` keeps the line in
+    A line is one JSON value: it is parsed as the only item of an array, so
+    text after the value, or a second value, makes the line malformed.
+    ``FAILFAST`` stops there, ``PERMISSIVE`` keeps the line in
     ``_corrupt_record`` with NULL columns.
     """
+    if mode.upper() not in ("FAILFAST", "PERMISSIVE"):
+        raise ValueError(f"mode must be FAILFAST or PERMISSIVE, got {mode!r}")
     columns = list(columns)
-    fields = [T.StructField(json_key(c), T.StringType()) for c in columns]
-    picked = [F.col(f"j.`{json_key(c)}`").alias(c) for c in columns]
-    options = {"mode": mode.upper()}
+    fields = T.StructType([T.StructField(json_key(c), T.StringType()) for c in columns])
+    wrapped = F.concat(F.lit("["), F.col("payload"), F.lit("]"))
+    parsed = F.from_json(wrapped, T.ArrayType(fields), {"mode": mode.upper()})
+    rows = lines.withColumn("_items", parsed)
+    bad = F.col("_items").isNull() | (F.size("_items") != 1)
+    if mode.upper() == "FAILFAST":
+        message = F.concat(F.lit("malformed line: "), F.col("payload"))
+        one = F.when(bad, F.raise_error(message).cast(fields)).otherwise(F.get("_items", F.lit(0)))
+    else:
+        one = F.when(~bad, F.get("_items", F.lit(0)))
+    fraction = F.col("payload").rlike(r":\s*-?[0-9]+(\.|[eE])")
+    rows = rows.withColumns({"j": one, "_exact": F.when(fraction, F.try_parse_json("payload"))})
+    picked = [_exact(f"j.`{json_key(c)}`", json_key(c)).alias(c) for c in columns]
     if mode.upper() == "PERMISSIVE":
-        fields.append(T.StructField("_corrupt_record", T.StringType()))
-        options["columnNameOfCorruptRecord"] = "_corrupt_record"
-        picked.append(F.col("j._corrupt_record"))
-    parsed = F.from_json("payload", T.StructType(fields), options)
-    return lines.withColumn("j", parsed).select(*lines.columns, *picked)
+        picked.append(F.when(bad, F.col("payload")).alias("_corrupt_record"))
+    return rows.select(*lines.columns, *picked)
+
+
+def _exact(column: str, key: str) -> Column:
+    """A promoted value; if it reads like a number with a fraction, by the exact parse of the line."""
+    value = F.col(column)
+    exact = F.try_variant_get("_exact", f"$.{key}", "string")
+    return F.when(value.rlike(r"^-?[0-9.]+([eE][+-]?[0-9]+)?$"), F.coalesce(exact, value)).otherwise(value)
 
 
 def _has_files(spark: SparkSession, folder: str, pattern: str) -> bool:
@@ -64,18 +84,26 @@ def read_raw_table(
     return rows.select(F.monotonically_increasing_id().alias("row_id"), *rows.columns)
 
 
-def read_raw(
-    spark: SparkSession, dataset_dir: str, only: Iterable[str] | None = None, mode: str = "FAILFAST"
-) -> dict[str, DataFrame]:
-    """All raw tables (or ``only`` some); absent ones are empty but typed."""
+def wanted_tables(spark: SparkSession, dataset_dir: str, only: Iterable[str] | None) -> set[str]:
+    """The tables to load; an unknown name and an absent dataset folder are errors."""
     wanted = set(only) if only else set(RAW_TABLES)
     unknown = wanted - set(RAW_TABLES)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
+    if not path_exists(spark, dataset_dir):
+        raise FileNotFoundError(f"dataset folder not found: {dataset_dir}")
+    return wanted
+
+
+def read_raw(
+    spark: SparkSession, dataset_dir: str, only: Iterable[str] | None = None, mode: str = "FAILFAST", pattern: str = PATTERN
+) -> dict[str, DataFrame]:
+    """All raw tables (or ``only`` some); tables without a folder are empty but typed."""
+    wanted = wanted_tables(spark, dataset_dir, only)
     out = {}
     for table in RAW_TABLES:
         if table in wanted:
-            rows = read_raw_table(spark, dataset_dir, table, mode)
+            rows = read_raw_table(spark, dataset_dir, table, mode, pattern)
             out[table] = empty_raw(spark, table) if rows is None else rows
     return out
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.projection import build_edges, build_nodes, insert_new
+from ..session import with_bloom_filters
 from ..specs import EDGE_SCHEMA, NODE_SCHEMA, RAW_TABLES, raw_schema
-from .jsonl import PATTERN, read_raw_table
+from .jsonl import PATTERN, read_raw_table, wanted_tables
 
 # Partition columns of the graph tables: every query selects by type.
 PARTITIONED_BY = {"graph_nodes": "node_type", "graph_edges": "edge_type"}
@@ -38,7 +39,19 @@ def ensure_databases(spark: SparkSession, raw_db: str = "raw", graph_db: str = "
     ensure_table(spark, f"{graph_db}.graph_edges", EDGE_SCHEMA, PARTITIONED_BY["graph_edges"])
 
 
-def write_table(rows: DataFrame, name: str, truncate: bool, partition_by: str | None = None) -> int:
+# Columns that lookups ask for; graph rows are stored in the order of the first.
+LOOKUP = {"graph_nodes": ("node_id", "node_key"), "graph_edges": ("src_node_id", "dst_node_id")}
+
+
+def in_lookup_order(rows: DataFrame, table: str) -> DataFrame:
+    """Rows by type and first lookup column, so that a file holds a range of ids; ids are random, so ranges are even."""
+    kind, first = PARTITIONED_BY[table], LOOKUP[table][0]
+    return rows.repartitionByRange(kind, first).sortWithinPartitions(kind, first)
+
+
+def write_table(
+    rows: DataFrame, name: str, truncate: bool, partition_by: str | None = None, lookup: tuple[str, ...] = ()
+) -> int:
     """Write to a table, replacing or appending; returns the rows written, counted on the way."""
     seen = Observation()
     counted = rows.observe(seen, F.count(F.lit(1)).alias("inserted"))
@@ -46,7 +59,7 @@ def write_table(rows: DataFrame, name: str, truncate: bool, partition_by: str |
     if not truncate and spark.catalog.tableExists(name):
         counted.select(*spark.table(name).columns).write.insertInto(name, overwrite=False)
     else:
-        writer = counted.write.format("parquet").mode("overwrite")
+        writer = with_bloom_filters(counted.write.format("parquet").mode("overwrite"), lookup)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.saveAsTable(name)
@@ -60,24 +73,29 @@ def load_raw(
     truncate: bool = True,
     raw_db: str = "raw",
     pattern: str = PATTERN,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Load JSON-lines folders into the raw tables; returns the load audit.
 
+    With ``mode`` PERMISSIVE malformed lines are loaded with NULL columns;
+    their text is the payload.
+
     Appending adds all rows again (raw tables have no unique key); row ids go
     on after the highest one stored.
     """
+    wanted = wanted_tables(spark, dataset_dir, only)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{raw_db}`")
-    wanted = set(only) if only else set(RAW_TABLES)
     audit = []
     for table in RAW_TABLES:
         if table not in wanted:
             continue
         name = f"{raw_db}.{table}"
         ensure_table(spark, name, raw_schema(table))
-        rows = read_raw_table(spark, dataset_dir, table, pattern=pattern)
+        rows = read_raw_table(spark, dataset_dir, table, mode, pattern)
         if rows is None:
             audit.append((table, "skip", 0, spark.table(name).count()))
             continue
+        rows = rows.drop("_corrupt_record")
         if not truncate:
             top = spark.table(name).agg(F.max("row_id")).first()[0]
             rows = rows.withColumn("row_id", F.col("row_id") + F.lit(-1 if top is None else top) + 1)
@@ -103,9 +121,8 @@ def write_graph(
 ) -> dict[str, int]:
     """Build the graph into the stored tables: a rebuild, or the addition of what is new.
 
-    Nodes are written first; the edge rules then read the stored nodes.  The
-    branches of the unions hold one type each, so a task writes to one
-    partition folder only.
+    Nodes are written first; the edge rules then read the stored nodes.  Rows
+    are stored by type and id, with bloom filters, for lookups.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{graph_db}`")
     nodes_name, edges_name = f"{graph_db}.graph_nodes", f"{graph_db}.graph_edges"
@@ -114,11 +131,17 @@ def write_graph(
     nodes = build_nodes(raw)
     if not truncate:
         nodes = insert_new(spark.table(nodes_name), nodes, "node_key")
-    counts = {"nodes": write_table(nodes, nodes_name, truncate, PARTITIONED_BY["graph_nodes"])}
+    counts = {
+        "nodes": write_table(
+            in_lookup_order(nodes, "graph_nodes"), nodes_name, truncate, PARTITIONED_BY["graph_nodes"], LOOKUP["graph_nodes"]
+        )
+    }
     spark.catalog.refreshTable(nodes_name)
     edges = build_edges(raw, nodes=spark.table(nodes_name))
     if not truncate:
         edges = insert_new(spark.table(edges_name), edges, "edge_key")
-    counts["edges"] = write_table(edges, edges_name, truncate, PARTITIONED_BY["graph_edges"])
+    counts["edges"] = write_table(
+        in_lookup_order(edges, "graph_edges"), edges_name, truncate, PARTITIONED_BY["graph_edges"], LOOKUP["graph_edges"]
+    )
     spark.catalog.refreshTable(edges_name)
     return counts

@@ -13,46 +13,83 @@ from pyspark.sql import types as T
 # --------------------------------------------------------------------------- raw tables
 
 # Table (= folder) name and its promoted columns, in order.
-RAW_TABLES: dict[str, str] = {
-    "sales_order_headers": "sales_order sold_to_party creation_date last_change_datetime total_net_amount"
-    " transaction_currency overall_delivery_status overall_ord_reltd_billg_status",
-    "sales_order_items": "sales_order sales_order_item material material_group requested_quantity"
-    " requested_quantity_unit net_amount transaction_currency production_plant storage_location",
-    "sales_order_schedule_lines": "sales_order sales_order_item schedule_line confirmed_delivery_date"
-    " confd_order_qty_by_matl_avail_check order_quantity_unit",
-    "outbound_delivery_headers": "delivery_document creation_date shipping_point"
-    " overall_goods_movement_status overall_picking_status",
-    "outbound_delivery_items": "delivery_document delivery_document_item plant storage_location"
-    " actual_delivery_quantity delivery_quantity_unit reference_sd_document reference_sd_document_item",
-    "billing_document_headers": "billing_document billing_document_type billing_document_date"
-    " billing_document_is_cancelled cancelled_billing_document total_net_amount transaction_currency"
-    " company_code fiscal_year accounting_document sold_to_party",
-    "billing_document_items": "billing_document billing_document_item material billing_quantity"
-    " billing_quantity_unit net_amount transaction_currency reference_sd_document reference_sd_document_item",
-    "billing_document_cancellations": "billing_document billing_document_is_cancelled cancelled_billing_document",
-    "journal_entry_items_accounts_receivable": "company_code fiscal_year accounting_document"
-    " accounting_document_item accounting_document_type gl_account reference_document customer"
-    " transaction_currency amount_in_transaction_currency posting_date document_date clearing_date"
-    " clearing_accounting_document clearing_doc_fiscal_year",
-    "payments_accounts_receivable": "company_code fiscal_year accounting_document accounting_document_item"
-    " customer transaction_currency amount_in_transaction_currency clearing_date"
-    " clearing_accounting_document clearing_doc_fiscal_year invoice_reference invoice_reference_fiscal_year",
-    "business_partners": "business_partner customer business_partner_category business_partner_name"
-    " business_partner_full_name business_partner_grouping business_partner_is_blocked is_marked_for_archiving",
-    "business_partner_addresses": "business_partner address_id address_uuid validity_start_date"
-    " validity_end_date street_name city_name region country postal_code",
-    "customer_company_assignments": "customer company_code reconciliation_account deletion_indicator"
-    " customer_account_group",
-    "customer_sales_area_assignments": "customer sales_organization distribution_channel division currency"
-    " customer_payment_terms incoterms_classification incoterms_location1",
-    "products": "product product_type product_group base_unit division is_marked_for_deletion gross_weight"
-    " net_weight weight_unit",
-    "product_descriptions": "product language product_description",
-    "plants": "plant plant_name address_id sales_organization distribution_channel division"
-    " is_marked_for_archiving",
-    "product_plants": "product plant availability_check_type profit_center mrp_type",
-    "product_storage_locations": "product plant storage_location physical_inventory_block_ind"
-    " date_of_last_posted_cnt_un_rstrcd_stk",
+RAW_TABLES: dict[str, tuple[str, ...]] = {
+    "sales_order_headers": (
+        "sales_order", "sold_to_party", "creation_date", "last_change_datetime", "total_net_amount",
+        "transaction_currency", "overall_delivery_status", "overall_ord_reltd_billg_status",
+    ),
+    "sales_order_items": (
+        "sales_order", "sales_order_item", "material", "material_group", "requested_quantity",
+        "requested_quantity_unit", "net_amount", "transaction_currency", "production_plant", "storage_location",
+    ),
+    "sales_order_schedule_lines": (
+        "sales_order", "sales_order_item", "schedule_line", "confirmed_delivery_date",
+        "confd_order_qty_by_matl_avail_check", "order_quantity_unit",
+    ),
+    "outbound_delivery_headers": (
+        "delivery_document", "creation_date", "shipping_point", "overall_goods_movement_status",
+        "overall_picking_status",
+    ),
+    "outbound_delivery_items": (
+        "delivery_document", "delivery_document_item", "plant", "storage_location", "actual_delivery_quantity",
+        "delivery_quantity_unit", "reference_sd_document", "reference_sd_document_item",
+    ),
+    "billing_document_headers": (
+        "billing_document", "billing_document_type", "billing_document_date", "billing_document_is_cancelled",
+        "cancelled_billing_document", "total_net_amount", "transaction_currency", "company_code", "fiscal_year",
+        "accounting_document", "sold_to_party",
+    ),
+    "billing_document_items": (
+        "billing_document", "billing_document_item", "material", "billing_quantity", "billing_quantity_unit",
+        "net_amount", "transaction_currency", "reference_sd_document", "reference_sd_document_item",
+    ),
+    "billing_document_cancellations": (
+        "billing_document", "billing_document_is_cancelled", "cancelled_billing_document",
+    ),
+    "journal_entry_items_accounts_receivable": (
+        "company_code", "fiscal_year", "accounting_document", "accounting_document_item", "accounting_document_type",
+        "gl_account", "reference_document", "customer", "transaction_currency", "amount_in_transaction_currency",
+        "posting_date", "document_date", "clearing_date", "clearing_accounting_document", "clearing_doc_fiscal_year",
+    ),
+    "payments_accounts_receivable": (
+        "company_code", "fiscal_year", "accounting_document", "accounting_document_item", "customer",
+        "transaction_currency", "amount_in_transaction_currency", "clearing_date", "clearing_accounting_document",
+        "clearing_doc_fiscal_year", "invoice_reference", "invoice_reference_fiscal_year",
+    ),
+    "business_partners": (
+        "business_partner", "customer", "business_partner_category", "business_partner_name",
+        "business_partner_full_name", "business_partner_grouping", "business_partner_is_blocked",
+        "is_marked_for_archiving",
+    ),
+    "business_partner_addresses": (
+        "business_partner", "address_id", "address_uuid", "validity_start_date", "validity_end_date", "street_name",
+        "city_name", "region", "country", "postal_code",
+    ),
+    "customer_company_assignments": (
+        "customer", "company_code", "reconciliation_account", "deletion_indicator", "customer_account_group",
+    ),
+    "customer_sales_area_assignments": (
+        "customer", "sales_organization", "distribution_channel", "division", "currency", "customer_payment_terms",
+        "incoterms_classification", "incoterms_location1",
+    ),
+    "products": (
+        "product", "product_type", "product_group", "base_unit", "division", "is_marked_for_deletion", "gross_weight",
+        "net_weight", "weight_unit",
+    ),
+    "product_descriptions": (
+        "product", "language", "product_description",
+    ),
+    "plants": (
+        "plant", "plant_name", "address_id", "sales_organization", "distribution_channel", "division",
+        "is_marked_for_archiving",
+    ),
+    "product_plants": (
+        "product", "plant", "availability_check_type", "profit_center", "mrp_type",
+    ),
+    "product_storage_locations": (
+        "product", "plant", "storage_location", "physical_inventory_block_ind",
+        "date_of_last_posted_cnt_un_rstrcd_stk",
+    ),
 }
 
 # Fixed value: the only JSON key that is not the camel-case form of its column.
@@ -68,7 +105,7 @@ def json_key(column: str) -> str:
 
 
 def promoted_columns(table: str) -> list[str]:
-    return RAW_TABLES[table].split()
+    return list(RAW_TABLES[table])
 
 
 def raw_schema(table: str) -> T.StructType:
@@ -117,18 +154,19 @@ class NodeSpec:
         return list(dict.fromkeys(a for s in self.sources for a in s.attrs))
 
 
-def _attrs(names: str, **renamed: str) -> dict[str, str]:
+def _attrs(*names: str, **renamed: str) -> dict[str, str]:
     """Attribute names whose columns follow the camel-case rule; ``renamed`` gives the others."""
     by_key: dict[str, str] = {}
     for table in RAW_TABLES:
         for column in promoted_columns(table):
             by_key[json_key(column)] = column
-    return {n: renamed.get(n) or by_key[n] for n in names.split()}
+    return {n: renamed.get(n) or by_key[n] for n in names}
 
 
 _PAYMENT_KEYS = ("company_code", "clearing_doc_fiscal_year", "clearing_accounting_document")
 _PAYMENT_ATTRS = _attrs(
-    "companyCode fiscalYear clearingAccountingDocument clearingDate", fiscalYear="clearing_doc_fiscal_year"
+    "companyCode", "fiscalYear", "clearingAccountingDocument", "clearingDate",
+    fiscalYear="clearing_doc_fiscal_year",
 )
 _JOURNAL_KEYS = ("company_code", "fiscal_year", "accounting_document", "accounting_document_item")
 
@@ -144,8 +182,8 @@ NODE_SPECS: dict[str, NodeSpec] = {
                     "sales_order_headers",
                     ("sales_order",),
                     _attrs(
-                        "salesOrder soldToParty creationDate totalNetAmount transactionCurrency"
-                        " overallDeliveryStatus overallBillingStatus",
+                        "salesOrder", "soldToParty", "creationDate", "totalNetAmount", "transactionCurrency",
+                        "overallDeliveryStatus", "overallBillingStatus",
                         overallBillingStatus="overall_ord_reltd_billg_status",
                     ),
                 ),
@@ -159,8 +197,9 @@ NODE_SPECS: dict[str, NodeSpec] = {
                     "sales_order_items",
                     ("sales_order", "sales_order_item"),
                     _attrs(
-                        "salesOrder salesOrderItem material requestedQuantity requestedQuantityUnit"
-                        " netAmount transactionCurrency productionPlant storageLocation"
+                        "salesOrder", "salesOrderItem", "material", "requestedQuantity",
+                        "requestedQuantityUnit", "netAmount", "transactionCurrency", "productionPlant",
+                        "storageLocation",
                     ),
                 ),
             ),
@@ -173,11 +212,13 @@ NODE_SPECS: dict[str, NodeSpec] = {
                     "outbound_delivery_headers",
                     ("delivery_document",),
                     _attrs(
-                        "deliveryDocument creationDate shippingPoint overallGoodsMovementStatus"
-                        " overallPickingStatus"
+                        "deliveryDocument", "creationDate", "shippingPoint", "overallGoodsMovementStatus",
+                        "overallPickingStatus",
                     ),
                 ),
-                NodeSource("outbound_delivery_items", ("delivery_document",), _attrs("deliveryDocument"), rank=1),
+                NodeSource("outbound_delivery_items", ("delivery_document",), _attrs(
+                    "deliveryDocument",
+                ), rank=1),
             ),
         ),
         NodeSpec(
@@ -188,8 +229,9 @@ NODE_SPECS: dict[str, NodeSpec] = {
                     "outbound_delivery_items",
                     ("delivery_document", "delivery_document_item"),
                     _attrs(
-                        "deliveryDocument deliveryDocumentItem referenceSalesOrder referenceSalesOrderItem"
-                        " plant storageLocation actualDeliveryQuantity deliveryQuantityUnit",
+                        "deliveryDocument", "deliveryDocumentItem", "referenceSalesOrder",
+                        "referenceSalesOrderItem", "plant", "storageLocation", "actualDeliveryQuantity",
+                        "deliveryQuantityUnit",
                         referenceSalesOrder="reference_sd_document",
                         referenceSalesOrderItem="reference_sd_document_item",
                     ),
@@ -204,9 +246,9 @@ NODE_SPECS: dict[str, NodeSpec] = {
                     "billing_document_headers",
                     ("billing_document",),
                     _attrs(
-                        "billingDocument billingDocumentType billingDocumentDate totalNetAmount"
-                        " transactionCurrency companyCode fiscalYear accountingDocument soldToParty"
-                        " isCancelled cancelledBillingDocument",
+                        "billingDocument", "billingDocumentType", "billingDocumentDate", "totalNetAmount",
+                        "transactionCurrency", "companyCode", "fiscalYear", "accountingDocument", "soldToParty",
+                        "isCancelled", "cancelledBillingDocument",
                         isCancelled="billing_document_is_cancelled",
                     ),
                 ),
@@ -220,8 +262,9 @@ NODE_SPECS: dict[str, NodeSpec] = {
                     "billing_document_items",
                     ("billing_document", "billing_document_item"),
                     _attrs(
-                        "billingDocument billingDocumentItem material billingQuantity billingQuantityUnit"
-                        " netAmount transactionCurrency referenceDelivery referenceDeliveryItem",
+                        "billingDocument", "billingDocumentItem", "material", "billingQuantity",
+                        "billingQuantityUnit", "netAmount", "transactionCurrency", "referenceDelivery",
+                        "referenceDeliveryItem",
                         referenceDelivery="reference_sd_document",
                         referenceDeliveryItem="reference_sd_document_item",
                     ),
@@ -236,10 +279,10 @@ NODE_SPECS: dict[str, NodeSpec] = {
                     "journal_entry_items_accounts_receivable",
                     _JOURNAL_KEYS,
                     _attrs(
-                        "companyCode fiscalYear accountingDocument accountingDocumentItem"
-                        " accountingDocumentType glAccount referenceDocument customer transactionCurrency"
-                        " amountInTransactionCurrency postingDate documentDate clearingDate"
-                        " clearingAccountingDocument clearingDocFiscalYear"
+                        "companyCode", "fiscalYear", "accountingDocument", "accountingDocumentItem",
+                        "accountingDocumentType", "glAccount", "referenceDocument", "customer",
+                        "transactionCurrency", "amountInTransactionCurrency", "postingDate", "documentDate",
+                        "clearingDate", "clearingAccountingDocument", "clearingDocFiscalYear",
                     ),
                 ),
             ),
@@ -249,7 +292,9 @@ NODE_SPECS: dict[str, NodeSpec] = {
             "Product {product}",
             (
                 NodeSource(
-                    "products", ("product",), _attrs("product productType productGroup baseUnit division")
+                    "products", ("product",), _attrs(
+                        "product", "productType", "productGroup", "baseUnit", "division",
+                    )
                 ),
                 NodeSource("sales_order_items", ("material",), {"product": "material"}, rank=1),
                 NodeSource("billing_document_items", ("material",), {"product": "material"}, rank=1),
