@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import lower_ascii, partitions, table
 
 #: Rows looked at to find texts that fill a range of their own. It steers the dealing only: results never depend on it.
@@ -54,7 +55,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         .limit(HOT_TEXTS)
         .select("_hot_sha", (F.ceil(F.col("count") * (4.0 * n / max(1.0, share * total))).cast("int") + 1).alias("_pieces"))
     )
-    # At most HOT_TEXTS rows, so the broadcast is bounded.
+    # At most HOT_TEXTS rows, so the broadcast is bounded; written, so that both uses below see the same texts.
+    hot = materialise(hot, "hot")
     piece = lambda doc_id: F.pmod(F.xxhash64(doc_id), F.col("_pieces"))
     salted = (
         plain.select(
@@ -74,14 +76,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         ranged = salted.repartitionByRange("_key", "_salt")
 
     # Sorted by key and whole text; the window compares whole neighbours, and needs no further exchange.
-    run = Window.partitionBy("_key", "_salt", "_norm")
+    run = Window.partitionBy("_key", "_salt", "_norm").orderBy(F.desc_nulls_last("_id"))
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = ranged.select(
         "_id",
         "_sha",
         "_salt",
-        F.max("_id").over(run).alias("_max"),
-        F.count(F.lit(1)).over(run).alias("_size"),
-        F.row_number().over(run.orderBy(F.desc_nulls_last("_id"))).alias("_rank"),
+        F.max("_id").over(whole).alias("_max"),
+        F.count(F.lit(1)).over(whole).alias("_size"),
+        F.row_number().over(run).alias("_rank"),
         *(["_row"] if carry else []),
     )
 
