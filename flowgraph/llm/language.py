@@ -187,13 +187,12 @@ class Scorer:
         cut = pc.split_pattern(pc.replace_substring(batch, "\n", " "), " ")
         sizes = pc.list_value_length(cut).to_numpy()
         coded = cut.flatten().dictionary_encode()
-        at, new = np.empty(len(coded.dictionary), np.int64), []
-        for i, part in enumerate(coded.dictionary.to_pylist()):
-            if (place := self.places.get(part)) is None:
-                place = self.places[part] = len(self.places)
-                new.append(part)
-            at[i] = place
-        if new:
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.array([-1 if p is None else p for p in map(self.places.get, names)], np.int64)
+        if len(unknown := np.flatnonzero(at < 0)):
+            new, first = [names[i] for i in unknown.tolist()], len(self.places)
+            self.places.update(zip(new, range(first, first + len(new)), strict=True))
+            at[unknown] = np.arange(first, first + len(new))
             self._learn(new)
         at = at[coded.indices.to_numpy()]
         ends = np.cumsum(sizes)  # never empty: a text has a part at least

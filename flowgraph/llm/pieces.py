@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, texts
-from .tokens import Units, steps
+from .tokens import Units, side_by_side, steps
 
 MARK = "▁"
 #: Pairs of pieces whose agreement a worker remembers.
@@ -72,7 +72,7 @@ class PieceEncoder(Units):
             known = self.pairs[key] = self._merged(left + right) == ([left, right] if left else [right])
         return known
 
-    def learn(self, units: list[str]) -> list[np.ndarray]:
+    def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of new words: forward states along the trie, depth first, and a walk back for each word."""
         ids, longest, pairs, agree = self.ids, self.longest, self.pairs, self._agree
         found: list[np.ndarray] = [None] * len(units)
@@ -110,7 +110,7 @@ class PieceEncoder(Units):
                 else:
                     row += [self.byte_ids[b] for b in piece.encode()]
             found[at] = np.array(row, np.int32)
-        return found
+        return side_by_side(found)
 
     def encode(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the end of each text's; a text begins with a mark, as in the library."""

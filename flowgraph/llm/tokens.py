@@ -23,7 +23,7 @@ MAX_LENGTH = 1024
 #: A file of ids is closed at the first document end past this many ids.
 FILE_IDS = 4 << 20
 #: Units whose ids a worker remembers; then it starts anew. Bytes of text that are taken at a time.
-MEMORY_UNITS, STEP_BYTES = 800_000, 8 << 20
+MEMORY_UNITS, STEP_BYTES = 600_000, 4 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,20 +37,21 @@ class Units:
 
     def __init__(self, kind: type = np.uint16):
         self.places: dict[str, int] = {"": 0}
-        self.flat, self.starts, self.uses = np.empty(0, kind), np.zeros(2, np.int64), np.zeros(1, np.int64)
+        self.flat = np.empty(0, kind)
+        self.starts, self.lengths, self.uses = (np.zeros(1, np.int64) for _ in range(3))
 
-    def learn(self, units: list[str]) -> list[np.ndarray]:
-        """The numbers of new units."""
+    def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of new units in one array, and where those of each unit start and how many they are."""
         raise NotImplementedError
 
     def forget(self) -> None:
         """Keep only units that were met again since they were learnt or last kept."""
         kept = [(u, p) for u, p in self.places.items() if not u or self.uses[p] > 1]
         at = np.array([p for _, p in kept])
-        lengths = self.starts[at + 1] - self.starts[at]
+        lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
-        self.starts = np.concatenate([[0], ends])
+        self.starts, self.lengths = ends - lengths, lengths
         self.places = {u: i for i, (u, _) in enumerate(kept)}
         self.uses = np.zeros(len(kept), np.int64)
 
@@ -60,23 +61,31 @@ class Units:
             self.forget()
         sizes = pc.list_value_length(cut).to_numpy()
         coded = cut.flatten().dictionary_encode()
-        units, new = np.empty(len(coded.dictionary), np.int64), []
-        for i, u in enumerate(coded.dictionary.to_pylist()):
-            if (place := self.places.get(u)) is None:
-                place = self.places[u] = len(self.places)
-                new.append(u)
-            units[i] = place
-        if new:
-            found = self.learn(new)
-            self.flat = np.concatenate([self.flat, *found])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        units = np.array([-1 if p is None else p for p in map(self.places.get, names)], np.int64)
+        if len(at := np.flatnonzero(units < 0)):
+            new = [names[i] for i in at.tolist()]
+            first = len(self.places)
+            self.places.update(zip(new, range(first, first + len(new)), strict=True))
+            units[at] = np.arange(first, first + len(new))
+            flat, starts, lengths = self.learn(new)
+            self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, flat])
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.uses[units] += 1
         units = units[coded.indices.to_numpy()]
-        lengths = self.starts[units + 1] - self.starts[units]
+        lengths = self.lengths[units]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[units] - ends[:-1], lengths)]
-        return flat, ends[np.cumsum(sizes)]
+        at = np.repeat((self.starts[units] - ends[:-1]).astype(np.int32), lengths)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return self.flat[at], ends[np.cumsum(sizes)]
+
+
+def side_by_side(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays as one, and where each starts and how long it is."""
+    lengths = np.array([len(x) for x in found])
+    return np.concatenate(found), np.cumsum(lengths) - lengths, lengths
 
 
 class Encoder(Units):
@@ -106,36 +115,61 @@ class Encoder(Units):
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.char_of = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.marks = {c: self.tokenizer.token_to_id(c) for c in ".,;:?!)"}
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], dtype=np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of new units. Words, and words with one mark behind, are cut here; the library cuts all others."""
-        words, cut, other = [], [], []
+    def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new units. Words, and words with one mark behind, are cut here; the library cuts all others.
+
+        A mark behind a word that is known already needs no call: the pattern parts them.
+        """
+        words, cut, known, other = [], [], [], []
         for i, u in enumerate(units):
             word = u[1:] if u[0] == " " else u
             if word.isalpha():
                 words.append(i)
                 cut.append(u)
-            elif word[-1:] in ".,;:?!)" and word[:-1].isalpha():
-                words.append(i)
-                cut.append(f"{u[:-1]}\n{u[-1]}")
+            elif word[-1:] in self.marks and word[:-1].isalpha():
+                if (place := self.places.get(u[:-1], len(self.starts))) < len(self.starts):
+                    known.append((i, place, self.marks[u[-1]]))
+                else:
+                    words.append(i)
+                    cut.append(f"{u[:-1]}\n{u[-1]}")
             else:
                 other.append(i)
-        found: list[np.ndarray] = [None] * len(units)
-        for i, ids in zip(other, self._whole([units[i] for i in other]), strict=True):
-            found[i] = ids
+        starts, lengths = np.zeros((2, len(units)), np.int64)
+        runs, done = [], 0
+        if known:  # the word's own ids, and the mark's
+            at, places, marks = np.array(known).T
+            lengths[at] = self.lengths[places] + 1
+            ends = np.cumsum(lengths[at])
+            starts[at] = ends - lengths[at]
+            run = np.empty(ends[-1], np.uint16)
+            run[ends - 1] = marks
+            inner = np.ones(ends[-1], bool)
+            inner[ends - 1] = False
+            own = self.lengths[places]
+            run[inner] = self.flat[np.arange(own.sum()) + np.repeat(self.starts[places] - (np.cumsum(own) - own), own)]
+            runs, done = [run], len(run)
+        if other:
+            run, first, lengths[other] = side_by_side(self._whole([units[i] for i in other]))
+            starts[other] = done + first
+            runs.append(run)
+            done += len(run)
         for at in range(0, len(words), 2000):
             some = cut[at : at + 2000]
             sizes = np.cumsum([len(u.encode()) - u.count("\n") for u in some])
             mapped = "\n".join(some).encode().decode("latin-1").translate({**self.char_of, 10: "\n"})
             run = np.array(self.merges.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, np.uint16)
-            bounds = np.searchsorted(np.cumsum(self.bytes_of[run]), sizes) + 1
-            for i, ids in zip(words[at : at + 2000], np.split(run, bounds[:-1]), strict=True):
-                found[i] = ids
-        return found
+            bounds = np.concatenate([[0], np.searchsorted(np.cumsum(self.bytes_of[run]), sizes) + 1])
+            starts[words[at : at + 2000]] = done + bounds[:-1]
+            lengths[words[at : at + 2000]] = np.diff(bounds)
+            runs.append(run)
+            done += len(run)
+        return np.concatenate(runs), starts, lengths
 
     def encode(self, batch: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text; the caller bounds the batch (see ``steps``)."""
