@@ -231,7 +231,7 @@ def _column(found: pa.Table, name: str, kind) -> list[np.ndarray]:
 def judge_place(found: pa.Table, length: int, transform_bytes: int) -> pa.Table:
     """Later strings among the stretches that were sent to one place, by unit."""
     units_of = np.array(found.column("unit").to_pylist())
-    columns = {n: _column(found, n, k) for n, k in (("keys", np.uint64), ("ids", np.int64), ("ordinals", np.uint32), ("firsts", np.int64), ("counts", np.uint8))}
+    columns = {n: _column(found, n, k) for n, k in (("keys", np.uint64), ("ids", np.int64), ("ordinals", np.uint32), ("firsts", np.int64), ("counts", np.uint16))}
     unit = np.repeat(units_of, [len(x) for x in columns["keys"]])
     keys, ids, ordinals, firsts, counts = (np.concatenate(columns[n]) for n in ("keys", "ids", "ordinals", "firsts", "counts"))
     raw = b"".join(found.column("text").to_pylist())
@@ -258,7 +258,7 @@ def judge_place(found: pa.Table, length: int, transform_bytes: int) -> pa.Table:
         at = np.concatenate(batch)
         content = [raw[a:b] for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
         who, off = later_strings(content, rank[at], length)
-        out.append((unit[at[who]], ordinals[at[who]], firsts[at[who]] + off, np.ones(len(who), np.uint8)))
+        out.append((unit[at[who]], ordinals[at[who]], firsts[at[who]] + off, np.ones(len(who), np.uint16)))
 
     for group in groups:
         if len(group) > 1:
@@ -270,14 +270,14 @@ def judge_place(found: pa.Table, length: int, transform_bytes: int) -> pa.Table:
     if batch:
         expand()
     for i, u in enumerate(units_of.tolist()):
-        own = [np.frombuffer(found.column(n)[i].as_py(), k) for n, k in (("copy_ordinals", np.uint32), ("copy_firsts", np.int64), ("copy_counts", np.uint8))]
+        own = [np.frombuffer(found.column(n)[i].as_py(), k) for n, k in (("copy_ordinals", np.uint32), ("copy_firsts", np.int64), ("copy_counts", np.uint16))]
         out.append((np.full(len(own[0]), u), *own))
     unit, ordinals, firsts, counts = (np.concatenate(x) for x in zip(*out, strict=True))
     by = np.argsort(unit, kind="stable")
     names, begin = np.unique(unit[by], return_index=True)
     cut = lambda x, kind: pa.array([y.astype(kind).tobytes() for y in np.split(x[by], begin[1:])] if len(names) else [], pa.binary())
     return pa.table(
-        {"unit": pa.array(names, pa.int64()), "ordinals": cut(ordinals, np.uint32), "firsts": cut(firsts, np.int64), "counts": cut(counts, np.uint8)}
+        {"unit": pa.array(names, pa.int64()), "ordinals": cut(ordinals, np.uint32), "firsts": cut(firsts, np.int64), "counts": cut(counts, np.uint16)}
     )
 
 
@@ -291,7 +291,8 @@ def repeated_spans(
     A byte goes if a string of ``length`` bytes around it also starts earlier: in a document of a smaller ``doc_id``
     (null is the smallest; equal ids by text), or in the same one. Strings are judged on the input, matches may overlap
     and never cross documents. Null counts as empty; an empty text has no spans; of rows that are repeated the first is
-    the earlier. An empty table gives no rows; only the two columns named are read.
+    the earlier. An empty table gives no rows; only the two columns named are read. Whole stretches of text are told
+    equal by 128 bits of hash; strings inside different ones by their bytes.
     """
     if length < SEED + NARROW:
         raise ValueError("strings must be longer than the parts that they are dealt by")
@@ -362,11 +363,11 @@ def repeated_spans(
             rows["ids"].append(ids[owner[a]].tobytes())
             rows["ordinals"].append(owner[a].astype(np.uint32).tobytes())
             rows["firsts"].append(local[a].tobytes())
-            rows["counts"].append(count[a].astype(np.uint8).tobytes())
+            rows["counts"].append(count[a].astype(np.uint16).tobytes())
             rows["text"].append(b"".join([raw[s : s + n + length - 1] for s, n in zip(first[a].tolist(), count[a].tolist(), strict=True)]))
             rows["copy_ordinals"].append(owner[c].astype(np.uint32).tobytes())
             rows["copy_firsts"].append(local[c].tobytes())
-            rows["copy_counts"].append(count[c].astype(np.uint8).tobytes())
+            rows["copy_counts"].append(count[c].astype(np.uint16).tobytes())
         kinds = {"place": pa.int32(), "unit": pa.int64()}
         return pa.table({n: pa.array(x, kinds.get(n, pa.binary())) for n, x in rows.items()})
 
@@ -377,7 +378,7 @@ def repeated_spans(
         doc_ids, data, starts = _unit_texts(found)
         ordinals = np.concatenate([np.zeros(0, np.uint32), *_column(later, "ordinals", np.uint32)]).astype(np.int64)
         firsts = np.concatenate([np.zeros(0, np.int64), *_column(later, "firsts", np.int64)])
-        counts = np.concatenate([np.zeros(0, np.uint8), *_column(later, "counts", np.uint8)]).astype(np.int64)
+        counts = np.concatenate([np.zeros(0, np.uint16), *_column(later, "counts", np.uint16)]).astype(np.int64)
         begin = starts[ordinals] + firsts
         change = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + counts + length - 1, minlength=len(data) + 1)
         gone = np.cumsum(change)[: len(data)] > 0
