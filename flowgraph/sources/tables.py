@@ -44,9 +44,12 @@ LOOKUP = {"graph_nodes": ("node_id", "node_key"), "graph_edges": ("src_node_id",
 
 
 def in_lookup_order(rows: DataFrame, table: str) -> DataFrame:
-    """Rows by type and first lookup column, so that a file holds a range of ids; ids are random, so ranges are even."""
-    kind, first = PARTITIONED_BY[table], LOOKUP[table][0]
-    return rows.repartitionByRange(kind, first).sortWithinPartitions(kind, first)
+    """Rows of a file by type and first lookup column, so that page statistics leave a lookup few pages to read.
+
+    No exchange is made for it: ids are random, so a range for each file would
+    only save the bloom filters' reading.
+    """
+    return rows.sortWithinPartitions(PARTITIONED_BY[table], LOOKUP[table][0])
 
 
 def write_table(
