@@ -50,6 +50,7 @@ class PieceEncoder(Units):
         self.ids = {self.names[i]: i for i in plain}
         self.scores = {self.names[i]: model.get_score(i) for i in plain}
         self.longest = max(map(len, self.ids))
+        self.tails = {x[i:] for x in self.ids for i in range(len(x))}
         if "\n" in self.ids or any(MARK in x.lstrip(MARK) for x in self.ids):
             raise ValueError("texts can't be cut before marks and around line ends with this vocabulary")
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -74,7 +75,7 @@ class PieceEncoder(Units):
 
     def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of new words: forward states along the trie, depth first, and a walk back for each word."""
-        ids, longest, pairs, agree = self.ids, self.longest, self.pairs, self._agree
+        ids, tails, longest, pairs, agree = self.ids, self.tails, self.longest, self.pairs, self._agree
         found: list[np.ndarray] = [None] * len(units)
         states = [""]  # states[j]: the last piece of the encoding of the current word's first j characters
         before = ""
@@ -86,16 +87,18 @@ class PieceEncoder(Units):
             del states[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 state = word[end - 1]  # a character without a piece stands alone
-                for start in range(max(0, end - longest), end):
+                for start in range(end - 1, max(0, end - longest) - 1, -1):
                     piece = word[start:end]
                     if piece in ids:
                         left = states[start]
                         fits = pairs.get((left, piece))
                         if fits is None:
                             fits = agree(left, piece)
-                        if fits:
+                        if fits:  # only one piece does
                             state = piece
                             break
+                    elif piece not in tails:
+                        break  # no piece ends like this
                 states.append(state)
             before = word
             path, end = [], len(word)
