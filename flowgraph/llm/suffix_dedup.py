@@ -28,6 +28,8 @@ from .common import partitions, table, texts
 LENGTH, SEED = 100, 32
 #: Bytes of a unit, on average, and of a stretch of text whose parts are found at a time.
 UNIT_BYTES, CHUNK = 2 << 20, 1 << 17
+#: Bytes of the input for each place, at most on average.
+PLACE_BYTES = 8 << 20
 #: A part is frequent from so many occurrences on; its strings are then dealt by parts that so many starts share.
 FREQUENT, NARROW = 1_000, 10
 #: Text that one transform holds, if the strings of one part do not need more.
@@ -300,7 +302,7 @@ def repeated_spans(
     docs = texts(df, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = max(1, -(-total // unit_bytes))
-    places = max(partitions(spark), -(-total // (16 << 20)))
+    places = max(partitions(spark), -(-total // PLACE_BYTES))
     dealt = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.lit(units)))
 
     def tell(key, found):
