@@ -269,7 +269,7 @@ def graph_rebuild(spark, sf):
     raw = RoleTables(spark, sf)
     raw_db, graph_db = _own_database(spark, "raw"), _own_database(spark, "graph")
     ensure_databases(spark, raw_db, graph_db)
-    made = sum(len(spark.catalog.listTables(db)) for db in (raw_db, graph_db))
+    made = sum(not t.isTemporary for db in (raw_db, graph_db) for t in spark.catalog.listTables(db))
     orders = {"sales_order_headers", "sales_order_items", "products"}
     first = write_graph(spark, {t: raw[t] if t in orders else empty_raw(spark, t) for t in raw}, graph_db)
     added = write_graph(spark, raw, graph_db, truncate=False)
