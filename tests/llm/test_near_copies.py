@@ -1,0 +1,81 @@
+"""Near copies of the pipeline against brute force over the shingles of five words."""
+
+import random
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from flowgraph.llm import simhash
+
+
+def sets_of(text):
+    w = text.encode().lower().split()
+    return frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def expected(rows):
+    stays = []
+    for i, t in sorted(rows):
+        s = sets_of(t)
+        if not any(alike(s, x) for _, x in stays):
+            stays.append((i, s))
+    return {i for i, _ in stays}
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"new{rng.random()}"
+    return " ".join(out)
+
+
+def test_near_copies_beyond_four_bits(spark):
+    rng = random.Random(3)
+    rows, far = [], 0
+    for g in range(40):
+        words = [f"w{rng.randrange(5_000)}" for _ in range(300)]
+        base = " ".join(words)
+        rows += [(10 * g, base), (10 * g + 1, edited(rng, words, 4)), (10 * g + 2, edited(rng, words, 25))]
+        far += (simhash.fingerprint(base) ^ simhash.fingerprint(rows[-2][1])).bit_count() > 4
+    assert far > 10  # links of four bits do not reach these
+    found = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in found.collect()} == expected(rows) == {10 * g + k for g in range(40) for k in (0, 2)}
+
+
+def test_a_large_group_takes_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HEADS", 4)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, edited(rng, words, rng.randrange(1, 12))) for i in range(60)]
+    found = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id for r in found.collect()}
+    texts = dict(rows)
+    assert 4 < len(got) < 60 and got == expected(rows)
+    assert all(any(alike(sets_of(texts[i]), sets_of(texts[j])) for j in got if j < i) for i in texts if i not in got)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_given_tables(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").filter("text IS NOT NULL")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert {r.doc_id for r in simhash.without_near_copies(docs).collect()} == expected(rows)
+
+
+def test_sets_and_prints():
+    assert len(simhash.shingles("")) == 0 and len(simhash.shingles("a B c")) == 1
+    assert simhash.shingles("a b c d e f").tolist() == simhash.shingles("A b c  d e F").tolist()
+    empty = np.empty(0, np.uint64)
+    assert simhash.alike(empty, empty) and not simhash.alike(empty, simhash.shingles("a"))
+    assert len(set(simhash.prints(simhash.shingles("some words of a text that is not long")))) == simhash.NEAR_PRINTS
+
+
+def test_no_rows_and_repeated_rows(spark):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (None, "One two three four five six"), (2, None), (3, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.without_near_copies(docs).collect()) == [1, 1, 2]
+    assert simhash.without_near_copies(docs.limit(0)).count() == 0
