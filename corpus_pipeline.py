@@ -8,21 +8,32 @@ from pyspark.sql import functions as F
 from flowgraph.llm.common import importable, table
 from flowgraph.llm.exact_dedup import exact_dedup
 from flowgraph.llm.pii import redact, train
-from flowgraph.llm.quality import quality
+from flowgraph.llm.quality import quality, without_lines
 from flowgraph.llm.simhash import without_near_copies
 from flowgraph.llm.tokens import pack_digest
 from flowgraph.session import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules. Rows equal in id, text and source share a verdict."""
-    rejected = quality(docs).filter(~F.col("kept")).select("doc_id", "text_hash", "host").toDF("_id", "_th", "_host")
+    """Documents that pass the rules, without the lines that are frequent on their host; ``n_chars`` follows a changed text.
+
+    Rows equal in id, text and source share a verdict.
+    """
+    touched = quality(docs).filter("NOT kept OR gone_lines IS NOT NULL").select("doc_id", "text_hash", "host", "kept", "gone_lines")
+    touched = touched.toDF("_id", "_th", "_host", "_kept", "_gone").dropDuplicates(["_id", "_th", "_host"])
     same = (
         docs["doc_id"].eqNullSafe(F.col("_id"))
         & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th"))
         & (F.coalesce(docs["source"], F.lit("")) == F.col("_host"))
     )
-    return docs.join(rejected, same, "left_anti")
+    left = docs.join(touched, same, "left").filter("_kept IS NULL OR _kept")
+    changed = F.col("_gone").isNotNull()
+    new = {"text": F.when(changed, without_lines(docs["text"], F.col("_gone"))).otherwise(docs["text"])}
+    out = left.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns], changed.alias("_changed"))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_changed"), length).otherwise(F.col("n_chars")))
+    return out.drop("_changed")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

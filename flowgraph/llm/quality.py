@@ -98,11 +98,19 @@ def document_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, host, at, line, line_words`` for each line with a word."""
-    lines = F.filter(F.split("text", "\n"), _has_word)
-    return rows.select(
-        "doc_id", "text_hash", "host", F.posexplode(F.transform(lines, lambda x: F.struct(_line_hash(x).alias("line"), F.size(words(x)).alias("line_words"))))
-    ).select("doc_id", "text_hash", "host", F.col("pos").alias("at"), "col.line", "col.line_words")
+    """``doc_id, text_hash, host, at, line, line_words`` for each line with a word; ``at`` is its place among all lines."""
+    told = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.struct(i.alias("at"), _line_hash(x).alias("line"), F.size(words(x)).alias("line_words")),
+    )
+    lines = F.filter(told, lambda x: x["line_words"] > 0)
+    return rows.select("doc_id", "text_hash", "host", F.explode(lines)).select("doc_id", "text_hash", "host", "col.*")
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """``text`` without the lines at the places ``gone``; the others stay as they are, in their order."""
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone)
+    return _let(F.split(text, "\n"), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
 
 
 def frequent_lines(rows: DataFrame, max_share: float = MAX_LINE_SHARE, min_docs: int = MIN_LINE_DOCS) -> DataFrame:
@@ -138,14 +146,16 @@ def quality(
     min_docs: int = MIN_LINE_DOCS,
     min_left: float = MIN_LEFT,
 ) -> DataFrame:
-    """One row per row of ``df``: ``doc_id, text_hash``, the measures, ``n_frequent_words`` (words in lines that go)
-    and ``kept``.
+    """One row per row of ``df``: ``doc_id, text_hash``, the measures, ``n_frequent_words`` (words in lines that go),
+    ``kept``, ``gone_lines`` (their places; null if there are none) and ``clean_text``, the text without them. A text
+    that loses no line is unchanged, and null stays null.
 
     Lines are compared without outer white space and case, by host (null is a host of its own). Each row is a document;
     rows equal in id and text get the same verdict. Empty and null texts have no words and fail; an empty table gives
     an empty result. Nothing but the three columns named is read.
     """
     rows = df.select(
+        df[text_col].isNull().alias("_no_text"),
         df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[text_col], F.lit("")).alias("text"),
         F.coalesce(df[host_col], F.lit("")).alias("host"),
@@ -157,20 +167,22 @@ def quality(
         .groupBy("doc_id", "text_hash", "host", "at")
         .agg(F.max("line_words").alias("line_words"))  # rows that are repeated count once
         .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("host").alias("_gh"))
-        .agg(F.sum("line_words").alias("n_frequent_words"))
+        .agg(F.sum("line_words").alias("n_frequent_words"), F.collect_list("at").alias("gone_lines"))
     )
-    measured = document_measures(rows).drop("text")
-    joined = measured.join(
+    joined = document_measures(rows).join(
         gone,
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")) & (F.col("host") == F.col("_gh")),
         "left",
     ).withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0)))
     left = F.col("n_words") - F.col("n_frequent_words")
-    return joined.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))).drop("_id", "_th", "_gh")
+    clean = F.when(F.col("gone_lines").isNotNull(), without_lines(F.col("text"), F.col("gone_lines"))).when(~F.col("_no_text"), F.col("text"))
+    return joined.withColumns(
+        {"kept": ~F.col("base_failed") & (left >= min_left * F.col("n_words")), "clean_text": clean}
+    ).drop("_id", "_th", "_gh", "_no_text", "text")
 
 
 def op3_quality_rules(spark, sf_dir):
-    return quality(table(spark, sf_dir, "documents")).drop("text_hash", "host")
+    return quality(table(spark, sf_dir, "documents")).drop("text_hash", "host", "clean_text", "gone_lines")
 
 
 OP3_SQL = f"""
