@@ -9,7 +9,7 @@ from flowgraph.llm.common import importable, table
 from flowgraph.llm.exact_dedup import exact_dedup
 from flowgraph.llm.pii import redact, train
 from flowgraph.llm.quality import quality, without_lines
-from flowgraph.llm.simhash import without_near_copies
+from flowgraph.llm.simhash import one_of_each
 from flowgraph.llm.tokens import pack_digest
 from flowgraph.session import materialise
 
@@ -42,8 +42,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an earlier one, by id, that stays and shares 80 % of the shingles of five words."""
-    return without_near_copies(docs)
+    """Of documents that links of at most 4 differing bits join (fingerprints of 4-word shingles) the one with the smallest id."""
+    return one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
