@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import importable
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op10_language
+from .negatives import OP11_SQL, op11_negatives
 from .pii import op7_pii
 from .quality import OP3_SQL, op3_quality_rules
 from .pieces import op2_sentencepiece
@@ -27,6 +28,7 @@ QUERIES = {
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_language": op10_language,
+        "op11_negatives": op11_negatives,
     }.items()
 }
 
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op3_quality_rules": OP3_SQL,
     "op4_url_filter": OP4_SQL,
+    "op11_negatives": OP11_SQL,
 }
