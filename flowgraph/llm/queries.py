@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import importable
+from .divergence import OP13_SQL, op13_divergence
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op10_language
 from .negatives import OP11_SQL, op11_negatives
@@ -29,6 +30,7 @@ QUERIES = {
         "op9_simhash": op9_simhash,
         "op10_language": op10_language,
         "op11_negatives": op11_negatives,
+        "op13_divergence": op13_divergence,
     }.items()
 }
 
@@ -37,4 +39,5 @@ ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
     "op4_url_filter": OP4_SQL,
     "op11_negatives": OP11_SQL,
+    "op13_divergence": OP13_SQL,
 }
