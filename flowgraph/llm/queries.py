@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import importable
+from .attention import op12_lm_scores
 from .divergence import OP13_SQL, op13_divergence
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op10_language
@@ -30,6 +31,7 @@ QUERIES = {
         "op9_simhash": op9_simhash,
         "op10_language": op10_language,
         "op11_negatives": op11_negatives,
+        "op12_lm_scores": op12_lm_scores,
         "op13_divergence": op13_divergence,
     }.items()
 }
