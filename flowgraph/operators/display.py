@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from ..specs import EDGE_SPECS, NODE_SPECS
 from .registry import codes_for_ids, non_granular
 from .traversal import with_degrees
 
+if TYPE_CHECKING:
+    from ..sources.links import Links
+
 # Score and the substrings of a lower-cased attribute name that earn it.
 RELEVANCE = (
     (6, ("amount", "net", "gross", "total")),
@@ -113,9 +117,9 @@ def attr_relevance(df: DataFrame, id_column: str, json_column: str, max_items: i
     return rows.select(id_column, (F.col("pos") + 1).alias("rank"), "i.score", "i.key", "i.value")
 
 
-def node_cards(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Type, key, ``total (in x, out y)`` and attributes of each node."""
-    counted = with_degrees(nodes, edges)
+def node_cards(nodes: DataFrame, edges: DataFrame, links: Links | None = None) -> DataFrame:
+    """Type, key, ``total (in x, out y)`` and attributes of each node; with kept ``links`` no edge is read."""
+    counted = with_degrees(nodes, edges, links)
     connections = F.format_string("%d (in %d, out %d)", "total_degree", "in_degree", "out_degree")
     return counted.select("node_id", "node_type", "node_key", connections.alias("connections"), "attrs")
 

@@ -3,7 +3,9 @@
 Nodes: all sources of a node type are unioned and reduced to one row per key
 by a ``min(struct)`` aggregate.  That combines on the map side, so a key that
 holds a third of the rows costs one row per task, where a ranking window
-would send all of them to one task.
+would send all of them to one task.  Types with a single source hold a key
+twice only by exception; these keys are found by counting hashes, and all
+other rows are neither exchanged nor sorted.
 
 Edges: ids are functions of the keys, so an edge needs no lookup of its end
 nodes, only proof that they exist.  Where the edge's own source row defines
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import edge_key, node_key, node_key_sql, uuid5
 from ..functions.values import fill_template, json_object, present
+from ..session import materialise
 from ..specs import EDGE_SPECS, NODE_SPECS, EdgeSpec, Endpoint, NodeSource, NodeSpec
 
 RawTables = Mapping[str, DataFrame]
@@ -56,9 +59,14 @@ def source_rows(raw: RawTables, spec: NodeSpec, source: NodeSource, once: bool =
     )
 
 
-def node_rows(raw: RawTables, node_type: str, attrs: Iterable[str] | None = None) -> DataFrame:
+def node_rows(
+    raw: RawTables, node_type: str, attrs: Iterable[str] | None = None, suspects: DataFrame | None = None
+) -> DataFrame:
     """One typed row per node: key, winning source, attributes as columns.
 
+    With ``suspect_keys`` at hand only rows of such keys are compared; all
+    other rows of a single source pass as they are.
+
     If only some ``attrs`` are wanted, the winner is sought by the attributes
     up to the last of them: the first fields of the smallest row are the
     smallest first fields, so the result is the same with less to compare and
@@ -71,10 +79,45 @@ def node_rows(raw: RawTables, node_type: str, attrs: Iterable[str] | None = None
     else:
         fields = ["source_rank", *names[: max((names.index(a) + 1 for a in attrs), default=0)]]
     rows = union_all([source_rows(raw, spec, s, once=True) for s in spec.sources])
+    if fields == ["source_rank"]:  # numbers alone are compared in a hash aggregate
+        return rows.groupBy("node_key").agg(F.min("source_rank").alias("source_rank"))
+    if suspects is not None and not _several(spec):
+        suspects = suspects.where(F.col("node_type") == node_type).select("h")
+        rows = rows.withColumn("h", F.xxhash64("node_key"))
+        alone = rows.join(suspects, "h", "left_anti").select("node_key", *fields)
+        return alone.unionByName(_winners(rows.join(suspects, "h", "left_semi"), fields))
+    return _winners(rows, fields)
+
+
+def _winners(rows: DataFrame, fields: list[str]) -> DataFrame:
     winner = F.expr(f"min(struct({', '.join(fields)}))").alias("w")
     return rows.groupBy("node_key").agg(winner).select("node_key", "w.*")
 
 
+def _several(spec: NodeSpec) -> bool:
+    """Whether rows that share a key are the rule, as sources repeat each other's keys."""
+    return len(spec.sources) > 1
+
+
+def suspect_keys(raw: RawTables, node_types: Iterable[str]) -> DataFrame | None:
+    """``(node_type, h)``, written: hashes of the keys that more than one row of a single source states.
+
+    It counts 64-bit hashes alone, in hash aggregates that combine on the map side. A key whose hash isn't here is
+    stated by one row, which then needs neither an exchange nor a sort; two keys that share a hash are merely checked in
+    full. None if no type has a single source.
+    """
+    found = []
+    for node_type in node_types:
+        spec = NODE_SPECS[node_type]
+        if not _several(spec):
+            keys = source_rows(raw, spec, spec.sources[0], once=True)
+            found.append(keys.select(F.lit(node_type).alias("node_type"), F.xxhash64("node_key").alias("h")))
+    if not found:
+        return None
+    counted = union_all(found).groupBy("node_type", "h").agg(F.count(F.lit(1)).alias("n"))
+    return materialise(counted.where("n > 1").drop("n"), "suspects")
+
+
 def english_descriptions(raw: RawTables) -> DataFrame:
     """One English description per product, the smallest if there are several."""
     return (
@@ -118,8 +161,8 @@ def render_nodes(rows: DataFrame, node_type: str) -> DataFrame:
     )
 
 
-def nodes_of_type(raw: RawTables, node_type: str) -> DataFrame:
-    rows = node_rows(raw, node_type)
+def nodes_of_type(raw: RawTables, node_type: str, suspects: DataFrame | None = None) -> DataFrame:
+    rows = node_rows(raw, node_type, suspects=suspects)
     if node_type == "Product":
         rows = product_labels(rows, raw)
     return render_nodes(rows, node_type)
@@ -127,8 +170,14 @@ def nodes_of_type(raw: RawTables, node_type: str) -> DataFrame:
 
 def build_nodes(raw: RawTables, node_types: list[str] | None = None) -> DataFrame:
     """The node table.  Each type is a branch of the union, so a filter on
-    ``node_type`` leaves only the branches asked for."""
-    return union_all([nodes_of_type(raw, t) for t in node_types or NODE_SPECS])
+    ``node_type`` leaves only the branches asked for.
+
+    Keys stated more than once are sought first, which runs one job over the
+    key columns when this is called.
+    """
+    types = node_types or list(NODE_SPECS)
+    suspects = suspect_keys(raw, types)
+    return union_all([nodes_of_type(raw, t, suspects) for t in types])
 
 
 def rows_of_nodes(nodes: DataFrame, node_type: str, attrs: tuple[str, ...]) -> DataFrame:
@@ -180,8 +229,8 @@ def _attrs_read(spec: EdgeSpec) -> tuple[str, ...]:
     return tuple(dict.fromkeys([*spec.src.keys, *spec.dst.keys, *spec.evidence.values(), *spec.required]))
 
 
-def edge_rows(raw: RawTables, spec: EdgeSpec, rows_of: RowsOf) -> DataFrame:
-    """Edges of one rule as typed rows: end keys and evidence columns, one row per edge."""
+def edge_candidates(raw: RawTables, spec: EdgeSpec, rows_of: RowsOf) -> DataFrame:
+    """What the rows of one rule name, one row per edge: end keys and evidence columns; an end need not exist."""
     source = rows_of(spec.source, _attrs_read(spec)) if spec.from_nodes else raw[spec.source]
     ends = {"src_key": spec.src, "dst_key": spec.dst}
     needed = [*spec.required, *[k for e in ends.values() if certain(spec, e) for k in e.keys]]
@@ -196,7 +245,13 @@ def edge_rows(raw: RawTables, spec: EdgeSpec, rows_of: RowsOf) -> DataFrame:
     if not readable and not spec.from_nodes:  # node rows are one per key already
         rows = rows.groupBy("src_key", "dst_key").agg(F.min(F.struct(*spec.evidence)).alias("e"))
         rows = rows.select("src_key", "dst_key", "e.*")
-    for name, end in ends.items():
+    return rows
+
+
+def edge_rows(raw: RawTables, spec: EdgeSpec, rows_of: RowsOf) -> DataFrame:
+    """Edges of one rule as typed rows: the candidates whose ends exist."""
+    rows = edge_candidates(raw, spec, rows_of)
+    for name, end in {"src_key": spec.src, "dst_key": spec.dst}.items():
         if not certain(spec, end):
             known = rows_of(end.node_type, ()).select(F.col("node_key").alias(name))
             rows = rows.join(known, name, "left_semi")
@@ -226,9 +281,10 @@ def build_edges(raw: RawTables, names: list[str] | None = None, nodes: DataFrame
 
     @cache
     def rows_of(node_type: str, attrs: tuple[str, ...]) -> DataFrame:
-        return node_rows(raw, node_type, attrs) if nodes is None else rows_of_nodes(nodes, node_type, attrs)
+        return node_rows(raw, node_type, attrs, suspects) if nodes is None else rows_of_nodes(nodes, node_type, attrs)
 
     specs = [EDGE_SPECS[n] for n in names or EDGE_SPECS]
+    suspects = suspect_keys(raw, dict.fromkeys(s.source for s in specs if s.from_nodes)) if nodes is None else None
     return union_all([render_edges(edge_rows(raw, s, rows_of), s) for s in specs])
 
 

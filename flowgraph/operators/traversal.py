@@ -8,16 +8,22 @@ dst_node_id, edge_type, evidence)``.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import name_id
-from ..session import materialise
+from ..session import counted, materialise
+from .components import component_labels
 from .ranking import top_n_per_group
 from .registry import resolve_codes, with_type_id
 
+if TYPE_CHECKING:
+    from ..sources.links import Links
+
 # Request defaults and upper bounds.
 NEIGHBOR_LIMIT, NEIGHBOR_LIMIT_MAX = 200, 5000
 MAX_HOPS, MAX_HOPS_MAX = 2, 6
@@ -91,14 +97,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with their degrees, 0 where there is no edge.  All edge types count."""
-    return nodes.join(degrees(edges), "node_id", "left").fillna(0, ["in_degree", "out_degree", "total_degree"])
+def with_degrees(nodes: DataFrame, edges: DataFrame, links: Links | None = None) -> DataFrame:
+    """Nodes with their degrees, 0 where there is no edge.  All edge types count; kept ``links`` have them counted."""
+    counted = degrees(edges) if links is None else links.degrees
+    return nodes.join(counted, "node_id", "left").fillna(0, ["in_degree", "out_degree", "total_degree"])
 
 
-def node_details(nodes: DataFrame, edges: DataFrame, ids: Ids) -> DataFrame:
-    """Nodes by id with degrees, counted over the edges of these nodes only."""
+def node_details(nodes: DataFrame, edges: DataFrame, ids: Ids, links: Links | None = None) -> DataFrame:
+    """Nodes by id with degrees, counted over the edges of these nodes only, or looked up in kept ``links``."""
     wanted = nodes_by_ids(nodes, ids)
+    if links is not None:
+        return with_degrees(wanted, edges, replace(links, degrees=nodes_by_ids(links.degrees, ids)))
     touching = incident_edges(edges, ids, "both")
     counts = touching.groupBy("seed_id").agg(
         F.expr("count_if(dst_node_id = seed_id)").alias("in_degree"),
@@ -195,18 +204,24 @@ def neighbors(nodes: DataFrame, edges: DataFrame, seeds: Ids, **request) -> tupl
 # --------------------------------------------------------------------------- k hops
 
 
-def _levels(edges: DataFrame, seeds: DataFrame, max_hops: int | None, codes: list[str]) -> list[DataFrame]:
+def _levels(
+    edges: DataFrame, seeds: DataFrame, max_hops: int | None, codes: list[str], links: Links | None = None
+) -> list[DataFrame]:
     """The written levels of a breadth-first walk; the first holds the different seeds."""
     if max_hops is not None and max_hops < 0:
         raise ValueError(f"max_hops must not be negative, got {max_hops}")
     pairs = adjacency(edges.where(F.col("edge_type").isin(codes)))
     levels = [materialise(seeds.select("node_id").where("node_id IS NOT NULL").distinct(), "level-0")]
     while max_hops is None or len(levels) <= max_hops:
-        found = pairs.join(levels[-1], "node_id", "left_semi").select(F.col("nbr_id").alias("node_id")).distinct()
+        if links is None:
+            found = pairs.join(levels[-1], "node_id", "left_semi").select(F.col("nbr_id").alias("node_id"))
+        else:
+            found = links.neighbours(levels[-1], codes)
+        found = found.distinct()
         for earlier in levels[-2:]:
             found = found.join(earlier, "node_id", "left_anti")
-        level = materialise(found, f"level-{len(levels)}")
-        if level.isEmpty():
+        level, n = counted(found, f"level-{len(levels)}")
+        if not n:
             break
         levels.append(level)
     return levels
@@ -216,7 +231,9 @@ def _reached(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [lv.withColumn("depth", F.lit(d)) for d, lv in enumerate(levels)])
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None, codes: list[str]) -> DataFrame:
+def reach(
+    edges: DataFrame, seeds: DataFrame, max_hops: int | None, codes: list[str], links: Links | None = None
+) -> DataFrame:
     """``(node_id, depth)``: all nodes within ``max_hops`` undirected steps of any seed; None goes on to the end.
 
     Breadth first, one written level per step.  In an undirected graph the
@@ -224,9 +241,24 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None, codes: list[
     out its two last levels, not everything visited.  Levels are parquet
     tables of known size: small ones are broadcast to the edges by Catalyst,
     large ones join by shuffle, where AQE splits the partition of a hub.
+    With the graph's kept ``links`` a step reads the adjacency in its buckets;
+    without them it makes one of the edges.
     The walk runs when this is called, one job per step.
     """
-    return _reached(_levels(edges, seeds, max_hops, codes))
+    return _reached(_levels(edges, seeds, max_hops, codes, links))
+
+
+def connected(edges: DataFrame, seeds: DataFrame, codes: list[str]) -> DataFrame:
+    """``(node_id)``: all that hangs together with any seed, the seeds too, however many steps away.
+
+    By component labels of the allowed edges, in a number of jobs that grows with the logarithm of the number of
+    nodes; a walk by steps would take a job for each step.
+    """
+    seeds = materialise(seeds.select("node_id").where("node_id IS NOT NULL").distinct(), "seeds")
+    labels = materialise(component_labels(edges.where(F.col("edge_type").isin(codes))), "components")
+    wanted = labels.join(seeds, "node_id", "left_semi").select("component").distinct()
+    found = labels.join(wanted.hint("rebalance"), "component", "left_semi").select("node_id")
+    return found.unionByName(seeds.join(labels, "node_id", "left_anti").select("node_id"))
 
 
 def induced_edges(edges: DataFrame, reached: DataFrame, codes: list[str]) -> DataFrame:
@@ -285,6 +317,7 @@ def subgraph(
     include_granular: bool = True,
     max_nodes: int = MAX_NODES,
     max_edges: int = MAX_EDGES,
+    links: Links | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The capped k-hop payload around a request's seeds: nodes and edges (with ``type_id``).
 
@@ -299,7 +332,7 @@ def subgraph(
     if not codes:
         order = "pos" if "pos" in seeds.columns else "node_id"
         return as_payload(nodes_by_ids(nodes, seeds.orderBy(order).limit(max_nodes))), with_type_id(edges.limit(0))
-    levels = _levels(edges, seeds, max_hops, codes)
+    levels = _levels(edges, seeds, max_hops, codes, links)
     ids, kept = cap_subgraph(induced_edges(edges, _reached(levels), codes), levels[0], max_nodes, max_edges)
     return as_payload(nodes_by_ids(nodes, ids)), with_type_id(kept)
 
@@ -311,10 +344,12 @@ def full_subgraph(
     max_hops: int | None = MAX_HOPS,
     edge_type_ids: Iterable[str] | None = None,
     include_granular: bool = True,
+    links: Links | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The k-hop subgraph without caps, for seed sets of any size; ``max_hops`` None takes all that is connected."""
     codes = resolve_codes(edge_type_ids, include_granular)
-    reached = reach(edges, _table(nodes.sparkSession, seeds), max_hops, codes)
+    seeds = _table(nodes.sparkSession, seeds)
+    reached = connected(edges, seeds, codes) if max_hops is None else reach(edges, seeds, max_hops, codes, links)
     return as_payload(nodes_by_ids(nodes, reached)), with_type_id(induced_edges(edges, reached, codes))
 
 

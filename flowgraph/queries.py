@@ -19,14 +19,18 @@ from .operators import display, integrity, projection, registry, traversal
 from .operators.projection import build_edges, build_nodes, nodes_of_type, source_rows, union_all
 from .plans import named, templates, triage
 from .session import materialise, scratch_path
+from .sources.deletion import delete_nodes
+from .sources.incremental import extend_graph
 from .sources.jsonl import empty_raw, promote, read_raw
+from .sources.links import Links, keep_links, link_tables
 from .sources.roles import ROLE_SQL, RoleTables, StarTables, messages
-from .sources.tables import LOOKUP, ensure_databases, in_lookup_order, load_raw, write_graph
+from .sources.tables import LOOKUP, ensure_databases, graph_tables, in_lookup_order, load_raw, store_graph, write_graph, write_raw
 from .specs import NODE_SPECS, json_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _GRAPHS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_LINKS: dict[tuple[str, str], Links] = {}
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,6 +51,16 @@ def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return _GRAPHS[key]
 
 
+def stored_links(spark: SparkSession, sf_dir: str) -> Links:
+    """The degrees and the adjacency kept beside ``stored_graph``, in a database of their own."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LINKS:
+        db = _own_database(spark, "links")
+        keep_links(stored_graph(spark, sf_dir)[1], db, truncate=True)
+        _LINKS[key] = link_tables(spark, db)
+    return _LINKS[key]
+
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -241,12 +255,30 @@ def load_audit(spark, sf):
     audit = (
         first.withColumn("load", F.lit("truncate"))
         .unionByName(again.withColumn("load", F.lit("append")))
-        .select("load", "table", "status", "inserted", "rows_in_table")
+        .select("load", "table", "status", "inserted", "rows_in_table", "malformed")
     )
     spark.sql(f"DROP DATABASE `{db}` CASCADE")  # the audit is a table of its own
     return audit
 
 
+@query
+def load_quarantine(spark, sf):
+    """Product lines with every tenth cut short: what a permissive load keeps, and the lines it puts aside."""
+    folder, table = scratch_path(spark, "jsonl"), "products"
+    raw = RoleTables(spark, sf)[table]
+    lines = raw.select("product", F.to_json(F.struct(*[F.col(c).alias(json_key(c)) for c in raw.columns])).alias("line"))
+    cut = F.expr("IF(CAST(product AS BIGINT) % 10 = 0, left(line, length(line) - 1), line)")
+    lines.select(cut.alias("value")).write.text(f"{folder}/{table}")
+    db = _own_database(spark, "raw")
+    audit = load_raw(spark, folder, [table], raw_db=db, pattern="*.txt", mode="PERMISSIVE")
+    aside = spark.table(f"{db}.quarantine").select(F.col("raw_table").alias("table"), F.lit("aside").alias("what"), F.get_json_object(F.concat("payload", F.lit("}")), "$.product").alias("product"))
+    kept = spark.table(f"{db}.{table}").select(F.lit(table).alias("table"), F.lit("kept").alias("what"), "product")
+    counted = audit.select("table", F.lit("malformed").alias("what"), F.col("malformed").cast("string").alias("product"))
+    found = materialise(aside.unionByName(kept).unionByName(counted), "quarantine")
+    spark.sql(f"DROP DATABASE `{db}` CASCADE")
+    return found
+
+
 def _loaded(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return read_raw(spark, _json_lines(RoleTables(spark, sf)), list(ROLE_SQL), pattern="*.json")
 
@@ -280,6 +312,30 @@ def graph_rebuild(spark, sf):
     return spark.createDataFrame(steps, "step string, what string, n bigint")
 
 
+@query
+def graph_increments(spark, sf):
+    """The graph after three loads of parts of all roles, each followed by an extension that reads its rows alone.
+
+    Rows of one document are loaded together, as of several statements about it the first one loaded stays.
+    """
+    raw = RoleTables(spark, sf)
+    raw_db, graph_db = _own_database(spark, "raw"), _own_database(spark, "graph")
+    ensure_databases(spark, raw_db, graph_db)
+    for part in range(3):
+        for table in ROLE_SQL:
+            by = raw[table].columns[:1] if raw[table].columns[0] != "company_code" else raw[table].columns
+            own = raw[table].where(F.expr(f"pmod(xxhash64({', '.join(by)}), 3) = {part}"))
+            rows = own.select(F.monotonically_increasing_id().alias("row_id"), F.lit("{}").alias("payload"), "*")
+            write_raw(rows, f"{raw_db}.{table}", truncate=False)
+        extend_graph(spark, raw_db, graph_db)
+    nodes, edges = graph_tables(spark, graph_db)
+    keys = nodes.select(F.col("node_type").alias("type"), F.col("node_key").alias("key"))
+    found = materialise(keys.unionByName(edges.select(F.col("edge_type").alias("type"), F.col("edge_key").alias("key"))), "increments")
+    for db in (raw_db, graph_db):
+        spark.sql(f"DROP DATABASE `{db}` CASCADE")
+    return found
+
+
 @query
 def incremental_upsert(spark, sf):
     """Deliveries known from items stay as they are when their headers are loaded later."""
@@ -336,14 +392,14 @@ def edges_with_type_id(spark, sf):
 @query
 def node_degrees(spark, sf):
     nodes, edges = stored_graph(spark, sf)
-    return traversal.with_degrees(nodes, edges).select("node_key", "in_degree", "out_degree", "total_degree")
+    return traversal.with_degrees(nodes, edges, stored_links(spark, sf)).select("node_key", "in_degree", "out_degree", "total_degree")
 
 
 @query
 def node_detail(spark, sf):
     nodes, edges = stored_graph(spark, sf)
     ids = nodes.where("node_type IN ('Product', 'Payment')").select("node_id")
-    return traversal.node_details(nodes, edges, ids).select(
+    return traversal.node_details(nodes, edges, ids, stored_links(spark, sf)).select(
         "node_id", "node_key", "node_type", "label", "in_degree", "out_degree", "total_degree"
     )
 
@@ -379,7 +435,7 @@ def node_by_id(spark, sf):
 
 @query
 def node_detail_by_id(spark, sf):
-    found = traversal.node_details(*stored_graph(spark, sf), _first_order_ids(spark, sf))
+    found = traversal.node_details(*stored_graph(spark, sf), _first_order_ids(spark, sf), stored_links(spark, sf))
     return found.select("node_id", "node_key", "in_degree", "out_degree", "total_degree")
 
 
@@ -402,10 +458,9 @@ def subgraph_of_ids(spark, sf):
 
 @query
 def reach_all(spark, sf):
-    """All that hangs together with the first incomplete flows, however many steps away."""
+    """All that hangs together with the incomplete flows, however many steps away."""
     nodes, edges = stored_graph(spark, sf)
-    seeds = _broken_seeds(RoleTables(spark, sf), 50)
-    reached = traversal.reach(edges, seeds, None, registry.resolve_codes(include_granular=False))
+    reached = traversal.connected(edges, _broken_seeds(RoleTables(spark, sf)), registry.resolve_codes(include_granular=False))
     return traversal.nodes_by_ids(nodes, reached).select("node_key")
 
 
@@ -447,7 +502,7 @@ def _broken_seeds(raw: RoleTables, limit: int | None = None) -> DataFrame:
 def khop_reach(spark, sf):
     nodes, edges = stored_graph(spark, sf)
     seeds = nodes.where("node_type = 'Payment'")
-    reached = traversal.reach(edges, seeds, 6, registry.resolve_codes(include_granular=False))
+    reached = traversal.reach(edges, seeds, 6, registry.resolve_codes(include_granular=False), stored_links(spark, sf))
     return reached.join(nodes.select("node_id", "node_key"), "node_id").select("node_key", "depth")
 
 
@@ -455,21 +510,21 @@ def khop_reach(spark, sf):
 def subgraph_nodes(spark, sf):
     nodes, edges = stored_graph(spark, sf)
     seeds = _broken_seeds(RoleTables(spark, sf))
-    return traversal.full_subgraph(nodes, edges, seeds, 2)[0].select("node_id", "node_key", "label")
+    return traversal.full_subgraph(nodes, edges, seeds, 2, links=stored_links(spark, sf))[0].select("node_id", "node_key", "label")
 
 
 @query
 def subgraph_edges(spark, sf):
     nodes, edges = stored_graph(spark, sf)
     seeds = _broken_seeds(RoleTables(spark, sf))
-    return traversal.full_subgraph(nodes, edges, seeds, 2)[1].select("edge_id", "edge_key", "type_id")
+    return traversal.full_subgraph(nodes, edges, seeds, 2, links=stored_links(spark, sf))[1].select("edge_id", "edge_key", "type_id")
 
 
 @query
 def subgraph_capped(spark, sf):
     nodes, edges = stored_graph(spark, sf)
     seeds = _broken_seeds(RoleTables(spark, sf), 50)
-    shown, _ = traversal.subgraph(nodes, edges, seeds, 3, max_nodes=300, max_edges=400)
+    shown, _ = traversal.subgraph(nodes, edges, seeds, 3, max_nodes=300, max_edges=400, links=stored_links(spark, sf))
     return shown.select("node_id", "node_key")
 
 
@@ -477,7 +532,7 @@ def subgraph_capped(spark, sf):
 def subgraph_capped_edges(spark, sf):
     nodes, edges = stored_graph(spark, sf)
     seeds = _broken_seeds(RoleTables(spark, sf), 50)
-    _, kept = traversal.subgraph(nodes, edges, seeds, 3, max_nodes=300, max_edges=400)
+    _, kept = traversal.subgraph(nodes, edges, seeds, 3, max_nodes=300, max_edges=400, links=stored_links(spark, sf))
     return kept.select("edge_id", "edge_key", "type_id")
 
 
@@ -495,7 +550,7 @@ def focus_subgraph(spark, sf):
     nodes, edges = stored_graph(spark, sf)
     key = f"BillingDocument:{largest_document(RoleTables(spark, sf))}"
     focus = nodes.where(F.col("node_key") == key).select("node_id")
-    return traversal.focus_subgraph(nodes, edges, focus)[1].select("edge_id", "edge_key")
+    return traversal.focus_subgraph(nodes, edges, focus, links=stored_links(spark, sf))[1].select("edge_id", "edge_key")
 
 
 @query
@@ -576,6 +631,20 @@ def cascade_edges(spark, sf):
     return integrity.cascade_edges(edges, _described(nodes)).select("edge_key")
 
 
+@query
+def cascade_delete(spark, sf):
+    """The stored graph after its products without master data were deleted, with all their edges."""
+    db = _own_database(spark, "graph")
+    nodes, edges = stored_graph(spark, sf)
+    store_graph(nodes, edges, db)
+    delete_nodes(spark, nodes.where("node_type = 'Product' AND raw_table <> 'products'").select("node_id"), db)
+    nodes, edges = graph_tables(spark, db)
+    keys = nodes.select(F.col("node_type").alias("type"), F.col("node_key").alias("key"))
+    found = materialise(keys.unionByName(edges.select(F.col("edge_type").alias("type"), F.col("edge_key").alias("key"))), "remaining")
+    spark.sql(f"DROP DATABASE `{db}` CASCADE")
+    return found
+
+
 @query
 def audit_not_null(spark, sf):
     return integrity.not_null_audit(*stored_graph(spark, sf))
@@ -684,7 +753,7 @@ def edge_attr_relevance(spark, sf):
 
 @query
 def node_card(spark, sf):
-    return display.node_cards(*stored_graph(spark, sf)).select("node_id", "node_type", "node_key", "connections")
+    return display.node_cards(*stored_graph(spark, sf), stored_links(spark, sf)).select("node_id", "node_type", "node_key", "connections")
 
 
 @query

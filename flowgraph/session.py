@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
@@ -91,3 +92,10 @@ def materialise(
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialise``, and the number of rows, counted while they are written."""
+    seen = Observation()
+    stored = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return stored, seen.get["n"]

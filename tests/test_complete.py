@@ -97,8 +97,17 @@ def test_names_and_folders_are_checked(spark, tmp_path):
     with pytest.raises(Exception):
         load_raw(spark, str(tmp_path), only=["plants"], raw_db="strict_db")
     audit = load_raw(spark, str(tmp_path), only=["plants"], raw_db="lenient_db", mode="PERMISSIVE").first()
-    assert (audit["status"], audit["inserted"]) == ("ok", 2)
-    assert column(spark.table("lenient_db.plants").where("plant IS NOT NULL"), "plant") == ["1"]
+    assert (audit["status"], audit["inserted"], audit["rows_in_table"], audit["malformed"]) == ("ok", 1, 1, 1)
+    assert column(spark.table("lenient_db.plants"), "plant") == ["1"]
+    aside = lambda: [tuple(r) for r in spark.table("lenient_db.quarantine").collect()]
+    assert aside() == [('{"plant":"2"} x', "plants")]
+    load_raw(spark, str(tmp_path), only=["plants"], raw_db="lenient_db", mode="PERMISSIVE", truncate=False)
+    assert len(aside()) == 2  # appended, as the good lines are
+    load_raw(spark, str(tmp_path), only=["plants"], raw_db="lenient_db", mode="PERMISSIVE")
+    assert len(aside()) == 1
+    (tmp_path / "plants" / "a.jsonl").write_text('{"plant":"1"}\n')
+    assert load_raw(spark, str(tmp_path), only=["plants"], raw_db="lenient_db", mode="PERMISSIVE").first()["malformed"] == 0
+    assert aside() == []
     for db in ("strict_db", "lenient_db"):
         spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
 
