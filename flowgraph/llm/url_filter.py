@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import counted, materialise
 from .common import LOWER, UPPER, lower_ascii, table
 
 #: (host and path, verdict). A rule fits its host and all subdomains of it.
@@ -23,7 +23,9 @@ RULES = (
 )
 #: Words that put a host on the list of the query; a host is listed if one of its labels has one as a part between hyphens.
 LISTED_WORDS = ("bet", "bets", "casino", "loan", "loans", "pills", "poker", "porn", "win", "xxx")
-#: Filters of all levels together that may be sent to every executor; beyond it the list is joined.
+#: A page whose html has fewer characters outside its tags is on the list as well: there is nothing to read.
+THIN_CHARS = 600
+#: Filters of all levels of a cascade that may be sent to an executor; larger universes are split by the keys' hashes.
 MAX_FILTER_BYTES = 32 << 20
 LEVELS = 64
 
@@ -114,29 +116,38 @@ def _held(keys: DataFrame, level: Level) -> DataFrame:
     return keys.mapInArrow(keep, keys.schema)
 
 
-def build_cascade(keys: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> list[Level] | None:
-    """A cascade for ``h1, h2, listed``, the whole universe of keys (see ``hashed``), repeats allowed.
+def cascade_parts(n: int, others: int, max_bytes: int = MAX_FILTER_BYTES) -> int:
+    """How many cascades ``n`` listed and ``others`` not listed keys need, so that each takes ``max_bytes`` at most.
+
+    Behind the first level, levels hold about 0.7 n keys, half of n, half of 0.7 n and so on, one hash each.
+    """
+    if not n:
+        return 1
+    first = Level.of(0, n, _first_rate(n, others))
+    return math.ceil((1.1 * (first.size + 2.5 * n / math.log(2)) + 64 * LEVELS) / 8 / max_bytes)
+
+
+def _first_rate(n: int, others: int) -> float:
+    return min(0.5, math.sqrt(0.5) * n / max(others, 1))
+
+
+def build_cascade(keys: DataFrame) -> list[Level]:
+    """A cascade for ``h1, h2, listed``, the whole universe of keys (see ``hashed``), each once.
 
     The first level holds the listed keys; the second the other keys that the first holds by mistake; the third the
     listed keys that the second holds by mistake; and so on until a level makes no mistake. So each key of the universe
-    is told exactly. Null if the filters would take more than ``max_bytes``. No listed key gives no level.
+    is told exactly. No listed key gives no level.
     """
-    keys = materialise(keys.groupBy("h1", "h2").agg(F.max("listed").alias("listed")), "keys")
     inside, outside = keys.filter("listed").select("h1", "h2"), keys.filter(~F.col("listed")).select("h1", "h2")
     levels: list[Level] = []
-    n, others, total = inside.count(), outside.count(), 0
+    n, others = inside.count(), outside.count()
     while n:
         if len(levels) == LEVELS:
             raise ValueError("two keys share all their hash bits")
-        rate = min(0.5, math.sqrt(0.5) * n / max(others, 1)) if not levels else 0.5
-        level = Level.of(len(levels), n, rate)
-        total += level.size // 8
-        if total > max_bytes:
-            return None
+        level = Level.of(len(levels), n, 0.5 if levels else _first_rate(n, others))
         levels.append(_build(inside, level))
-        mistaken = materialise(_held(outside, level), "mistaken")
-        inside, outside = mistaken, inside
-        n, others = inside.count(), n
+        mistaken, found = counted(_held(outside, level), "mistaken")
+        inside, outside, n = mistaken, inside, found
     return levels
 
 
@@ -151,18 +162,8 @@ def is_listed(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray
     return listed
 
 
-def with_listed(df: DataFrame, key: Column, listed_keys: DataFrame, name: str = "listed", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """``df`` and a boolean: is ``key`` among the keys (a single column) of ``listed_keys``? Exact, by a cascade over
-    all keys of ``df``; a list too large for that is joined. Null is never listed; an empty ``df`` or list is fine."""
-    column = listed_keys.columns[0]
-    listed = listed_keys.select(F.col(column).alias("_listed_key")).filter("_listed_key IS NOT NULL").distinct()
-    keys = df.select(hashed(key).alias("h"), F.lit(False).alias("listed")).filter(key.isNotNull())
-    marked = keys.union(listed.select(hashed(F.col("_listed_key")), F.lit(True)))
-    levels = build_cascade(marked.select("h.h1", "h.h2", "listed"), max_bytes)
-    if levels is None:
-        joined = df.withColumn("_key", key).join(listed, F.col("_key") == F.col("_listed_key"), "left")
-        return joined.withColumn(name, F.col("_listed_key").isNotNull()).drop("_key", "_listed_key")
-    sent = df.sparkSession.sparkContext.broadcast(levels)  # at most max_bytes
+def _told_by(df: DataFrame, key: Column, levels: list[Level], name: str) -> DataFrame:
+    sent = df.sparkSession.sparkContext.broadcast(levels)  # bounded by ``cascade_parts``
 
     @F.pandas_udf("boolean")
     def member(h):
@@ -173,6 +174,33 @@ def with_listed(df: DataFrame, key: Column, listed_keys: DataFrame, name: str =
     return df.withColumn(name, key.isNotNull() & member(hashed(F.coalesce(key, F.lit("")))))
 
 
+def with_listed(df: DataFrame, key: Column, listed_keys: DataFrame, name: str = "listed", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """``df`` and a boolean: is ``key`` among the keys (a single column) of ``listed_keys``? Exact, by a cascade over
+    all keys of ``df``. Null is never listed; an empty ``df`` or list is fine.
+
+    If one cascade would take more than ``max_bytes``, the universe is split by the keys' hashes into as many parts as
+    it takes; each has a cascade of its own, which only the rows of that part get.
+    """
+    column = listed_keys.columns[0]
+    listed = listed_keys.select(F.col(column).alias("_listed_key")).filter("_listed_key IS NOT NULL")
+    keys = df.select(hashed(key).alias("h"), F.lit(False).alias("listed")).filter(key.isNotNull())
+    marked = keys.union(listed.select(hashed(F.col("_listed_key")), F.lit(True)))
+    once = marked.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).agg(F.max("listed").alias("listed"))
+    universe, total = counted(once, "keys")
+    n = universe.filter("listed").count()
+    parts = cascade_parts(n, total - n, max_bytes)
+    if parts == 1:
+        return _told_by(df, key, build_cascade(universe), name)
+    own = F.coalesce(F.pmod(hashed(key)["h1"], F.lit(parts)), F.lit(0))
+    placed = materialise(df.withColumn("_cascade_part", F.when(key.isNull(), 0).otherwise(own).cast("int")), "placed", "_cascade_part")
+    out = None
+    for part in range(parts):
+        levels = build_cascade(universe.filter(F.expr(f"pmod(h1, {parts}) = {part}")))
+        told = _told_by(placed.filter(F.col("_cascade_part") == part).drop("_cascade_part"), key, levels, name)
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def _has_listed_word(host: Column) -> Column:
     return host.rlike(rf"(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)")
 
@@ -196,7 +224,9 @@ def judge_urls(pages: DataFrame, listed_keys: DataFrame, id_col: str = "page_id"
 def op4_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     host, path = url_parts(F.col("url"))
-    listed = pages.select(host.alias("host"), path.alias("path")).filter(_has_listed_word(F.col("host"))).select(F.concat("host", "path").alias("key"))
+    thin = F.length(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "")) < THIN_CHARS
+    listed = pages.select(host.alias("host"), path.alias("path"), thin.alias("thin")).filter(_has_listed_word(F.col("host")) | F.col("thin"))
+    listed = listed.select(F.concat("host", "path").alias("key"))
     return judge_urls(pages, listed)
 
 
@@ -210,12 +240,13 @@ def _rules_sql(column: int) -> str:
 
 OP4_SQL = f"""
 WITH p AS (
-  SELECT page_id,
+  SELECT page_id, length(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g')) < {THIN_CHARS} AS thin,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages
 ),
-l AS (SELECT *, regexp_matches(host, '(^|[.-])({"|".join(LISTED_WORDS)})([.-]|$)') AS listed FROM p)
+k AS (SELECT DISTINCT host || path AS key FROM p WHERE thin OR regexp_matches(host, '(^|[.-])({"|".join(LISTED_WORDS)})([.-]|$)')),
+l AS (SELECT *, host || path IN (SELECT key FROM k) AS listed FROM p)
 SELECT page_id, host, path, {_rules_sql(0)} AS rule, listed,
        coalesce({_rules_sql(1)}, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
 FROM l
