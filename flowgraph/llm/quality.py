@@ -9,10 +9,10 @@ from .common import BLANK, table
 
 #: Fewer words, or a larger percentage of words in repeated windows, fail a document.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: A line goes if over this share, and over this number, of the different texts of its host have it.
-MAX_LINE_SHARE, MIN_LINE_DOCS = 0.2, 10
-#: A document is depleted if less than this share of its words is left.
-MIN_LEFT = 0.5
+#: A line goes if more than this number of different texts of its host have it, however large the host is.
+MAX_LINE_DOCS = 20
+#: A document is depleted if fewer than ``MIN_WORDS``, or less than this share, of its words are left.
+MIN_LEFT = 0.2
 
 _BLANKS = "\t\n\x0b\x0c\r "
 
@@ -113,28 +113,18 @@ def without_lines(text: Column, gone: Column) -> Column:
     return _let(F.split(text, "\n"), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
 
 
-def frequent_lines(rows: DataFrame, max_share: float = MAX_LINE_SHARE, min_docs: int = MIN_LINE_DOCS) -> DataFrame:
-    """``host, line`` (a hash) of lines that over ``max_share``, and over ``min_docs``, of the host's texts have.
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_LINE_DOCS) -> DataFrame:
+    """``host, line`` (a hash) of lines that more than ``max_docs`` different texts of the host have.
 
     Copies of one text count once, so a large group of copies makes no line frequent. Counts are combined on the
-    map side: a line or host that a third of all rows have is one row for each task.
+    map side: a line that a third of all rows have is one row for each task.
     """
     lines = F.filter(F.split("text", "\n"), _has_word)
     once = rows.groupBy("host", "text_hash").agg(
         F.first(F.array_distinct(F.transform(lines, _line_hash))).alias("lines")
     )
-    hosts = once.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    counts = (
-        once.select("host", F.explode("lines").alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
-        .filter(F.col("n_docs") > min_docs)
-    )
-    return (
-        counts.join(hosts, F.col("host") == F.col("_host"))
-        .filter(F.col("n_docs") > max_share * F.col("host_docs"))
-        .select("host", "line")
-    )
+    counts = once.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    return counts.filter(F.col("n_docs") > max_docs).select("host", "line")
 
 
 def quality(
@@ -142,8 +132,7 @@ def quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    max_share: float = MAX_LINE_SHARE,
-    min_docs: int = MIN_LINE_DOCS,
+    max_docs: int = MAX_LINE_DOCS,
     min_left: float = MIN_LEFT,
 ) -> DataFrame:
     """One row per row of ``df``: ``doc_id, text_hash``, the measures, ``n_frequent_words`` (words in lines that go),
@@ -160,7 +149,7 @@ def quality(
         F.coalesce(df[text_col], F.lit("")).alias("text"),
         F.coalesce(df[host_col], F.lit("")).alias("host"),
     ).withColumn("text_hash", F.xxhash64("text"))
-    frequent = frequent_lines(rows, max_share, min_docs).withColumnsRenamed({"host": "_fh", "line": "_fl"})
+    frequent = frequent_lines(rows, max_docs).withColumnsRenamed({"host": "_fh", "line": "_fl"})
     gone = (
         _lines(rows)
         .join(frequent, (F.col("host") == F.col("_fh")) & (F.col("line") == F.col("_fl")), "left_semi")
@@ -177,7 +166,7 @@ def quality(
     left = F.col("n_words") - F.col("n_frequent_words")
     clean = F.when(F.col("gone_lines").isNotNull(), without_lines(F.col("text"), F.col("gone_lines"))).when(~F.col("_no_text"), F.col("text"))
     return joined.withColumns(
-        {"kept": ~F.col("base_failed") & (left >= min_left * F.col("n_words")), "clean_text": clean}
+        {"kept": ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words")), "clean_text": clean}
     ).drop("_id", "_th", "_gh", "_no_text", "text")
 
 
@@ -211,12 +200,7 @@ lw AS (
   FROM l WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
 ),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lw GROUP BY doc_id),
-h AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host),
-f AS (
-  SELECT host, line FROM lw GROUP BY host, line
-  HAVING count(DISTINCT text) > {MIN_LINE_DOCS}
-     AND count(DISTINCT text) > {MAX_LINE_SHARE} * (SELECT host_docs FROM h WHERE h.host = lw.host)
-),
+f AS (SELECT host, line FROM lw GROUP BY host, line HAVING count(DISTINCT text) > {MAX_LINE_DOCS}),
 gone AS (SELECT doc_id, sum(line_words)::BIGINT AS n_frequent_words FROM lw SEMI JOIN f USING (host, line) GROUP BY doc_id),
 a AS (
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
@@ -226,6 +210,6 @@ a AS (
 )
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
        NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
-         AND n_words - n_frequent_words >= {MIN_LEFT} * n_words AS kept
+         AND n_words - n_frequent_words >= {MIN_WORDS} AND n_words - n_frequent_words >= {MIN_LEFT} * n_words AS kept
 FROM a
 """

@@ -117,6 +117,16 @@ def test_frequent_lines_deplete_a_document(spark):
     assert all(found[200 + i].kept for i in range(40))
 
 
+def test_the_limit_of_lines_does_not_rise_with_the_host(spark):
+    own = lambda i: " ".join(f"word{i}x{k}" for k in range(20))
+    often, seldom = "read more about this in our large archive", "a line that only some pages of the host have"
+    rows = [(i, own(i) + (f"\n{often}" if i < 21 else "") + (f"\n{seldom}" if i < 20 else ""), "a") for i in range(2_000)]
+    rows += [(9000, f"{often}\n{own('few')[:60]}", "a")]
+    found = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [found[i].n_frequent_words for i in (0, 20, 21, 1999)] == [8, 8, 0, 0]
+    assert all(found[i].kept for i in range(2_000)) and not found[9000].kept and not found[9000].base_failed
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://Example.COM/en/x?q#f", "http://www.example.com/en/", "https://a.b.net/es/1", "x://net/fr/",
             "http://xnet/es/", "http://example.com", "http://casino.org/a", "HTTP://casino.org/A", "a://b://c/d", "http://é.com/\n?"]
@@ -139,9 +149,21 @@ def test_cascade_is_exact_over_its_universe(spark, share):
     keys = [(f"k{i}", rng.random() < share) for i in range(3_000)]
     df = spark.createDataFrame(keys * 2, "key string, inside boolean")
     listed = df.filter("inside").select("key")
-    for most in (url_filter.MAX_FILTER_BYTES, 0):  # by the cascade, and by the join that takes its place
+    n = listed.distinct().count()
+    assert not n or url_filter.cascade_parts(n, len(keys) - n, 600) > 1
+    for most in (url_filter.MAX_FILTER_BYTES, 600):  # by one cascade, and by one for each part of the keys
         told = url_filter.with_listed(df, F.col("key"), listed, max_bytes=most)
         assert told.filter("listed <> inside").count() == 0 and told.count() == len(keys) * 2
+        some = url_filter.with_listed(df.limit(1).union(df.limit(1).select(F.lit(None), "inside")), F.col("key"), listed, max_bytes=most)
+        assert some.filter("key IS NULL AND NOT listed").count() == 1
+
+
+@pytest.mark.parametrize("n, others", [(50, 5_000), (3_000, 3_000), (4_000, 100), (900, 0)])
+def test_cascades_stay_under_their_bound(spark, n, others):
+    keys = spark.range(n + others).select(url_filter.hashed(F.col("id").cast("string")).alias("h"), (F.col("id") < n).alias("listed"))
+    levels = url_filter.build_cascade(keys.select("h.h1", "h.h2", "listed"))
+    assert url_filter.cascade_parts(n, others, sum(x.size // 8 for x in levels)) >= 1
+    assert url_filter.cascade_parts(n, others, 2 * sum(x.size // 8 for x in levels) + 1_000) == 1
 
 
 def test_cascade_levels_alternate(spark):
