@@ -28,8 +28,8 @@ from .common import partitions, table, texts
 LENGTH, SEED = 100, 32
 #: Bytes of a unit, on average, and of a stretch of text whose parts are found at a time.
 UNIT_BYTES, CHUNK = 2 << 20, 1 << 17
-#: Bytes of the input for each place, at most on average.
-PLACE_BYTES = 8 << 20
+#: Bytes of the input for each place, and for each task of an exchange, at most on average.
+PLACE_BYTES, TASK_BYTES = 8 << 20, 32 << 20
 #: A part is frequent from so many occurrences on; its strings are then dealt by parts that so many starts share.
 FREQUENT, NARROW = 1_000, 10
 #: Text that one transform holds, if the strings of one part do not need more.
@@ -239,9 +239,9 @@ def judge_place(found: pa.Table, length: int, transform_bytes: int) -> pa.Table:
     raw = b"".join(found.column("text").to_pylist())
     ends = np.cumsum(counts.astype(np.int64) + length - 1)
     begins = ends - counts - (length - 1)
-    # The order of documents is that of ids, then of places in the unit, which all rows of an id share.
+    # The order of documents is that of ids, then of units and of places in the unit.
     rank = np.empty(len(keys), np.int64)
-    rank[np.lexsort((firsts, ordinals, ids))] = np.arange(len(keys))
+    rank[np.lexsort((firsts, ordinals, unit, ids))] = np.arange(len(keys))
     # Equal stretches: the first stays, the others are later ones as a whole.
     low, high = np.frombuffer(b"".join(found.column("digests").to_pylist()), np.uint64).reshape(-1, 2).T
     by = np.lexsort((rank, high, low, keys))
@@ -291,7 +291,7 @@ def repeated_spans(
     that go, and the bytes that are left, put together.
 
     A byte goes if a string of ``length`` bytes around it also starts earlier: in a document of a smaller ``doc_id``
-    (null is the smallest; equal ids by text), or in the same one. Strings are judged on the input, matches may overlap
+    (null is the smallest; equal ids by a hash of the text, then by text), or in the same one. Strings are judged on the input, matches may overlap
     and never cross documents. Null counts as empty; an empty text has no spans; of rows that are repeated the first is
     the earlier. An empty table gives no rows; only the two columns named are read. Whole stretches of text are told
     equal by 128 bits of hash; strings inside different ones by their bytes.
@@ -303,7 +303,9 @@ def repeated_spans(
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = max(1, -(-total // unit_bytes))
     places = max(partitions(spark), -(-total // PLACE_BYTES))
-    dealt = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.lit(units)))
+    # Dealt by id and text, so that rows of one id, or without any, are no hot group; tasks by bytes of the input.
+    tasks = max(partitions(spark), -(-total // TASK_BYTES))
+    dealt = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units))).repartition(tasks, "unit")
 
     def tell(key, found):
         _, data, starts = _unit_texts(found)
@@ -407,9 +409,9 @@ def repeated_spans(
 
     by_unit = dealt.groupBy("unit")
     told = by_unit.applyInArrow(tell, "place int, unit long, parts binary, counts binary")
-    said = told.groupBy("place").applyInArrow(tell_back, "unit long, place int, said binary")
+    said = told.repartition(tasks, "place").groupBy("place").applyInArrow(tell_back, "unit long, place int, said binary")
     sent = by_unit.cogroup(said.groupBy("unit")).applyInArrow(send, _SENT)
-    later = sent.groupBy("place").applyInArrow(judge, _LATER)
+    later = sent.repartition(tasks, "place").groupBy("place").applyInArrow(judge, _LATER)
     return by_unit.cogroup(later.groupBy("unit")).applyInArrow(
         cover, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     )
