@@ -22,6 +22,8 @@ FILE_END_ID, PACK_END_ID = 2, 0
 MAX_LENGTH = 1024
 #: A file of ids is closed at the first document end past this many ids.
 FILE_IDS = 4 << 20
+#: Writing tasks whose files' offsets are added up together.
+BLOCK_PARTS = 1024
 #: Units whose ids a worker remembers; then it starts anew. Bytes of text that are taken at a time.
 MEMORY_UNITS, STEP_BYTES = 600_000, 4 << 20
 
@@ -255,18 +257,39 @@ class EliasFano:
         """The ``i``-th number, from the nearest sampled one on."""
         if not 0 <= i < self.n:
             raise IndexError(i)
+        place = self._place(i)
+        return ((place - i) << self.low_bits) | int(self._lower(i, i + 1)[0])
+
+    def _place(self, i: int) -> int:
+        """The place of the ``i``-th one among the upper bits, from the nearest sampled one on."""
         at, left = int(self.samples[i // self.STRIDE]), i % self.STRIDE
         byte = at // 8
         left += int(np.unpackbits(self.high[byte : byte + 1])[: at % 8].sum())
         while left >= (ones := int(self.high[byte]).bit_count()):
             left -= ones
             byte += 1
-        place = byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1]))[left])
-        return ((place - i) << self.low_bits) | int(self._lower(i, i + 1)[0])
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high))[: self.n]
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._lower(0, self.n)
+        return byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1]))[left])
+
+    def some(self, first: int, last: int) -> np.ndarray:
+        """The numbers from the ``first``-th to before the ``last``-th; only their bits are unpacked."""
+        if last <= first:
+            return np.zeros(0, np.uint64)
+        begin, end = self._place(first), self._place(last - 1)
+        byte = begin // 8
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : end // 8 + 1])) + 8 * byte
+        ones = ones[(ones >= begin) & (ones <= end)]
+        return ((ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)) | self._lower(first, last)
+
+    def up_to(self, most: int) -> int:
+        """How many numbers are ``most`` at most, by bisection over ``select``."""
+        low, high = 0, self.n
+        while low < high:
+            middle = (low + high) // 2
+            if self.select(middle) <= most:
+                low = middle + 1
+            else:
+                high = middle
+        return low
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBBQQQ", self.n, self.low_bits, self.samples.itemsize, len(self.low), len(self.high), len(self.samples))
@@ -298,15 +321,38 @@ def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -
     return head + ends.to_bytes() + names.to_bytes() + ids.astype("<u2").tobytes()
 
 
-def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, document ends, and all ids of a file."""
-    magic, nulls, n_ids, base = struct.unpack_from("<8sQQq", data)
-    if magic != MAGIC:
-        raise ValueError("not a file of token ids")
-    ends, at = EliasFano.read(data, struct.calcsize("<8sQQq"))
-    names, at = EliasFano.read(data, at)
-    doc_ids = [None] * nulls + [base + int(x) for x in names.all()]
-    return doc_ids, ends.all().astype(np.int64), np.frombuffer(data, "<u2", n_ids, at)
+class TokenFile:
+    """A file of token ids as it is: names and ends of its documents stay in their Elias-Fano form, and offsets are
+    selected from it."""
+
+    def __init__(self, data: bytes):
+        magic, self.nulls, self.n_ids, self.base = struct.unpack_from("<8sQQq", data)
+        if magic != MAGIC:
+            raise ValueError("not a file of token ids")
+        self.ends, at = EliasFano.read(data, struct.calcsize("<8sQQq"))
+        self.names, at = EliasFano.read(data, at)
+        self.ids = np.frombuffer(data, "<u2", self.n_ids, at)
+        self.n_docs = self.ends.n
+
+    def start(self, i: int) -> int:
+        """Where the ``i``-th document starts; that of the one past the last is the file's length."""
+        return self.ends.select(i - 1) if i else 0
+
+    def document(self, i: int) -> np.ndarray:
+        """The ids of the ``i``-th document."""
+        return self.ids[self.start(i) : self.start(i + 1)]
+
+    def batches(self, size: int) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of about ``size`` ids, one document at least."""
+        at = 0
+        while at < self.n_docs:
+            end = max(at + 1, self.ends.up_to(self.start(at) + size))
+            yield at, end
+            at = end
+
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        nulls = max(0, min(last, self.nulls) - first)
+        return [None] * nulls + [self.base + int(x) for x in self.names.some(max(first - self.nulls, 0), max(last - self.nulls, 0))]
 
 
 def _filesystem(uri: str):
@@ -367,39 +413,35 @@ def write_token_files(
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document, from the files; ``start`` counts the ids of all documents
-    before it, and ``ids`` are little-endian unsigned 32-bit integers."""
-    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
-    before, total = [], 0
-    for part, n in sorted(parts.collect()):  # a number for each task that wrote
-        before.append((part, total))
-        total += n
-    spark = manifest.sparkSession
-    offsets = spark.createDataFrame(before, "part long, part_start long")
-    own = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    files = manifest.withColumn("_own", own).join(offsets, "part").select("path", (F.col("part_start") + F.col("_own")).alias("start"))
+    before it, and ``ids`` are little-endian unsigned 32-bit integers. Offsets come from the files' own structures by
+    selection, for some documents at a time."""
+    # A running sum over files without one task or the driver seeing them all: within a writing task, within blocks of
+    # these tasks, and over the blocks.
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("part_ids")).withColumn("block", F.expr(f"part div {BLOCK_PARTS}"))
+    before = lambda n, by: F.sum(n).over(by) - F.col(n)
+    blocks = parts.groupBy("block").agg(F.sum("part_ids").alias("block_ids"))
+    blocks = blocks.select("block", before("block_ids", Window.orderBy("block")).alias("block_start"))
+    parts = parts.withColumn("part_start", before("part_ids", Window.partitionBy("block").orderBy("part"))).join(blocks, "block")
+    own = manifest.withColumn("own_start", before("n_ids", Window.partitionBy("part").orderBy("seq")))
+    files = own.join(parts, "part").select("path", F.expr("block_start + part_start + own_start").alias("start"))
 
     def read(batches):
         for batch in batches:
             for path, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 filesystem, name = _filesystem(path)
                 with filesystem.open_input_stream(name) as f:
-                    doc_ids, ends, ids = read_file(f.read())
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                at = 0
-                while at < len(doc_ids):  # bounded batches
-                    end = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20), "right")))
-                    data = ids[starts[at] : ends[end - 1]].astype("<u4").tobytes()
-                    bounds = (4 * (np.concatenate([starts[at : at + 1], ends[at:end]]) - starts[at])).astype(np.int32)
+                    found = TokenFile(f.read())
+                for at, end in found.batches(1 << 20):
+                    begin = found.start(at)
+                    ends = found.ends.some(at, end).astype(np.int64) - begin
+                    data = found.ids[begin : begin + int(ends[-1])].astype("<u4").tobytes()
+                    starts = np.concatenate([[0], ends[:-1]])
+                    bounds = (4 * np.append(starts, ends[-1])).astype(np.int64)
+                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - at, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc_ids[at:end], pa.int64()),
-                            pa.array(starts[at:end] + first),
-                            pa.array(ends[at:end] - starts[at:end]),
-                            pa.BinaryArray.from_buffers(pa.binary(), end - at, [None, pa.py_buffer(bounds), pa.py_buffer(data)]),
-                        ],
+                        [pa.array(found.doc_ids(at, end), pa.int64()), pa.array(starts + begin + first), pa.array(ends - starts), ids.cast(pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
-                    at = end
 
     n = max(1, files.count())
     return files.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

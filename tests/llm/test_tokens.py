@@ -42,8 +42,12 @@ def test_elias_fano():
         values = np.sort(rng.integers(0, top + 1, n)).astype(np.uint64)
         data = tokens.EliasFano.of(values).to_bytes()
         back, end = tokens.EliasFano.read(data, 0)
-        assert end == len(data) and np.array_equal(back.all(), values)
+        assert end == len(data) and np.array_equal(back.some(0, n), values)
         assert [back.select(i) for i in range(n)] == values.tolist()
+        for first, last in ((0, 0), (n // 3, n // 2), (n // 2, n)):
+            assert np.array_equal(back.some(first, last), values[first:last])
+        for most in (0, top // 2, top):
+            assert back.up_to(most) == int((values <= most).sum())
         assert 8 * (len(back.low) + len(back.high)) <= n * (3 + max(0, np.log2(max(top, 1) / max(n, 1)))) + 80
     with pytest.raises(IndexError):
         back.select(-1)
@@ -51,8 +55,10 @@ def test_elias_fano():
 
 def test_file_round_trip():
     ids = np.arange(10, dtype=np.uint16)
-    doc_ids, ends, back = tokens.read_file(tokens.file_bytes([None, -5, -5, 2**62], [1, 2, 3, 4], ids))
-    assert doc_ids == [None, -5, -5, 2**62] and ends.tolist() == [1, 3, 6, 10] and np.array_equal(back, ids)
+    found = tokens.TokenFile(tokens.file_bytes([None, -5, -5, 2**62], [1, 2, 3, 4], ids))
+    assert found.doc_ids(0, 4) == [None, -5, -5, 2**62] and found.doc_ids(2, 3) == [-5] and np.array_equal(found.ids, ids)
+    assert [found.document(i).tolist() for i in range(4)] == [[0], [1, 2], [3, 4, 5], [6, 7, 8, 9]]
+    assert list(found.batches(3)) == [(0, 2), (2, 3), (3, 4)] and list(found.batches(100)) == [(0, 4)]
 
 
 @pytest.mark.parametrize("file_ids", [tokens.FILE_IDS, 40])
