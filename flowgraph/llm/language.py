@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, texts
@@ -23,7 +22,8 @@ ROUNDS, SMOOTHING, UNKNOWN = 4, 0.1, 1e-7
 WORD_CHARS = 32
 NONE = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters alone: no digits, fractions, circled or Roman numerals.
+_LETTERS = regex.compile(r"\p{L}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODDS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SLOTS = 20
@@ -205,10 +205,17 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
+def _parts(run: Column) -> Column:
+    """A run of letters as ``Scorer`` takes it: in parts of ``WORD_CHARS - 1``, the first one marked."""
+    cut = lambda at: F.concat(F.when(at == 0, MARK).otherwise(""), run.substr(at + 1, F.lit(WORD_CHARS - 1)))
+    return F.transform(F.sequence(F.lit(0), F.length(run) - 1, F.lit(WORD_CHARS - 1)), cut)
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: str | None = None):
     """Languages (sorted) and piece probabilities, learnt from documents with a language and an id whose crc32, as
     text, leaves a remainder by 5. At most ``TRAIN_DOCS`` documents and ``TRAIN_WORDS`` words of each language, so what
-    the driver gets has a bound. An empty sample gives no language."""
+    the driver gets has a bound. Long runs of letters are learnt in parts, all of them. An empty sample gives no language;
+    more than ``MAX_LANGUAGES`` are an error."""
     rows = df.select(
         df[id_col].cast("long").alias("doc_id"), df[lang_col].alias("lang"), F.coalesce(df[text_col], F.lit("")).alias("text")
     ).filter("lang IS NOT NULL AND crc32(cast(doc_id AS string)) % 5 <> 0")
@@ -216,17 +223,18 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if len(langs) > MAX_LANGUAGES:
         raise ValueError("too many languages")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = [r[0] for r in rows.select("doc_id", "lang", rank.alias("rank")).filter(F.col("rank") <= TRAIN_DOCS).select("doc_id").collect()]
+    chosen = rows.select("doc_id", "lang", rank.alias("rank")).filter(F.col("rank") <= TRAIN_DOCS).select("doc_id").distinct()
     words = (
-        rows.filter(F.col("doc_id").isin(chosen))
+        rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # ids of TRAIN_DOCS documents of MAX_LANGUAGES languages at most
         .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+        .select("lang", F.explode(_parts(F.col("word"))).alias("word"))
         .groupBy("lang", "word")
         .count()
     )
     top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     counts: list[dict[str, int]] = [{} for _ in langs]
     for r in words.withColumn("rank", top).filter(F.col("rank") <= TRAIN_WORDS).collect():
-        counts[langs.index(r["lang"])][MARK + r["word"][: WORD_CHARS - 1]] = r["count"]
+        counts[langs.index(r["lang"])][r["word"]] = r["count"]
     return langs, fit(counts, model or model_path())
 
 
