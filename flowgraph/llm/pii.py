@@ -1,4 +1,8 @@
-"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds spans."""
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds spans.
+
+The field learns from a small table of lines labelled by hand (``pii_lines``), with many numbers that are no personal
+data. It adds what the patterns can't tell: numbers that only the word before them makes a phone's or a card's.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, texts
+from .pii_lines import LINES
 from .tokens import steps
 
 KINDS = ("email", "ip", "card", "phone")
-#: The labelled table: lines with a digit or an at sign of so many documents, so many lines at most, of so many characters.
-TRAIN_DOCS, TRAIN_LINES, TRAIN_CHARS = 1_000, 4_000, 2_000
-#: A longer chain is several to the training.
-TRAIN_WORDS = 16
+#: One in so many lines of the labelled table is held out.
+HELD_OUT = 4
 ROUNDS, RATE, DECAY = 300, 0.1, 1e-3
+#: Words before a run of numbers that tell what it is: of a phone, of a card, of mail, or of a number of another kind.
+CUES = (
+    "tel phone telephone telefon telefonnummer rufnummer fon fax mobile mob mobil handy cell hotline whatsapp call text dial ring contact"
+    " unter tél téléphone appelez le portable teléfono llame al móvil at is",
+    "card credit visa mastercard amex kreditkarte carte tarjeta with",
+    "mail e-mail email to write send",
+    "order invoice no nr ticket case version release chapter page isbn issn part model serial seriennummer tracking parcel room raum"
+    " rechnung bestellung number account konto iban item article product sku batch id ref reference code código pedido commande facture"
+    " line lot form row seat key size zip plz postcode katalog of from on and about between",
+)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -76,7 +89,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _MARKED = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 _EDGE = "\"'<>[]{}.,;:!?"
 _BOUNDS = (0, 1, 3, 6, 7, 9, 13, 19)  # digits of a word, by class
-_FEATURES = 1 + len(_BOUNDS) + 1 + 11
+_MARKS = 11
+#: Behind a word's own features: the cue before its chain, that and the class of its digits, and digits of the whole chain.
+_CUED = 1 + len(_BOUNDS) + 1 + _MARKS
+_FEATURES = _CUED + (len(CUES) + 1) * (len(_BOUNDS) + 2) + len(_BOUNDS) + 1
+_CUE_OF = {w: i for i, words in enumerate(CUES) for w in words.split()}
 
 
 def chains(text: str) -> list[list[tuple[int, int]]]:
@@ -124,6 +141,20 @@ def shape(word: str) -> tuple[int, ...]:
     return (0, 1 + size, *(2 + len(_BOUNDS) + i for i, m in enumerate(marks) if m))
 
 
+def chain_shapes(text: str, chain: list[tuple[int, int]]) -> list[tuple[int, ...]]:
+    """Features of the words of a chain: their own, and what the word before the chain and the whole chain tell."""
+    start = chain[0][0]
+    line = text[max(0, start - 40) : start].rpartition("\n")[2].split()
+    cue = _CUE_OF.get(line[-1].strip(_EDGE + "()").lower(), len(CUES)) if line else len(CUES)
+    digits = sum(n > b for n in [len(_DIGITS.findall(text[chain[0][0] : chain[-1][1]]))] for b in _BOUNDS)
+    out = []
+    for a, b in chain:
+        own = shape(text[a:b])
+        wide = _CUED + cue * (len(_BOUNDS) + 2)
+        out.append((*own, wide, wide + 1 + digits, _CUED + (len(CUES) + 1) * (len(_BOUNDS) + 2) + digits))
+    return out
+
+
 class Field:
     """Linear-chain conditional random field; label 0 is "none", then the kinds. Chains begin and end beside a 0."""
 
@@ -211,40 +242,40 @@ class Field:
         return out
 
 
-def labelled(line: str) -> list[tuple[list[tuple[int, ...]], list[int]]]:
-    """Shapes and labels of a line's chains, labelled by the fixed patterns."""
-    base = base_spans(line)
-    return [
-        (
-            [shape(line[a:b]) for a, b in chain],
-            [next((1 + kind for start, kind, end in base if start < b and a < end), 0) for a, b in chain],
-        )
-        for whole in chains(line)
-        for chain in (whole[i : i + TRAIN_WORDS] for i in range(0, len(whole), TRAIN_WORDS))
-    ]
-
-
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """The field, from a labelled table of at most ``TRAIN_LINES`` lines, chosen by hash from at most ``TRAIN_DOCS``
-    documents. No such line, or an empty table, gives a field that adds nothing."""
-    rows = texts(df, id_col, text_col)
-    ids = [r[0] for r in rows.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()]
-    lines = (
-        rows.filter(F.col("doc_id").isin(ids))
-        .select(F.explode(F.split("text", "\n")).alias("line"))
-        .filter(F.col("line").rlike("[0-9@]"))
-        .select(F.substring("line", 1, TRAIN_CHARS).alias("line"))
-        .orderBy(F.xxhash64("line"), "line")
-        .limit(TRAIN_LINES)
-    )
-    pairs = [p for r in lines.collect() for p in labelled(r[0])]
-    return Field().fit([s for s, _ in pairs], [y for _, y in pairs])
+_MARKED_SPAN = re.compile(r"\{(\w+)\|([^}]*)\}")
+
+
+def labelled(line: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text of a line of the labelled table, and its spans (start, kind, end)."""
+    text, spans, at = "", [], 0
+    for m in _MARKED_SPAN.finditer(line):
+        text += line[at : m.start()]
+        spans.append((len(text), KINDS.index(m[1]), len(text) + len(m[2])))
+        text, at = text + m[2], m.end()
+    return text + line[at:], spans
+
+
+def table_parts() -> tuple[list[str], list[str]]:
+    """Lines of the labelled table to learn from, and those held out."""
+    return [x for i, x in enumerate(LINES) if i % HELD_OUT], LINES[::HELD_OUT]
+
+
+def train(lines: list[str] | None = None) -> Field:
+    """The field, from lines of the labelled table (those not held out). It is small and part of the package, so the
+    model is the same for every input; no line gives a field that adds nothing."""
+    shapes, labels = [], []
+    for line in table_parts()[0] if lines is None else lines:
+        text, spans = labelled(line)
+        for chain in chains(text):
+            shapes.append(chain_shapes(text, chain))
+            labels.append([next((1 + kind for start, kind, end in spans if start < b and a < end), 0) for a, b in chain])
+    return Field().fit(shapes, labels)
 
 
 def added_spans(batch: list[str], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
     """Spans of the field that touch no base span: neighbouring words of one label, without marks at the edges."""
     where = [(i, chain) for i, text in enumerate(batch) for chain in chains(text)]
-    paths = field.decode([[shape(batch[i][a:b]) for a, b in chain] for i, chain in where])
+    paths = field.decode([chain_shapes(batch[i], chain) for i, chain in where])
     out: list[list[tuple[int, int, int]]] = [[] for _ in batch]
     for (i, chain), path in zip(where, paths, strict=True):
         t = 0
@@ -325,7 +356,7 @@ def _listed(spans):
 
 def op7_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = find_pii(docs, train(docs))
+    found = find_pii(docs, train())
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     every = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["kind"], s["end"])))
