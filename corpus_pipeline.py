@@ -48,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; personal data in their texts gives way to its kind, and ``n_chars`` follows the text."""
-    clean = redact(docs, train(docs))
+    clean = redact(docs, train())
     changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return clean.withColumns(changed)
 
