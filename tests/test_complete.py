@@ -178,6 +178,33 @@ def test_folders_of_one_machine_are_refused_on_a_cluster(spark):
             session.scratch_dir(Session(folder))
 
 
+class OnCluster:
+    """A session that says it belongs to a cluster; all else is the real one's."""
+
+    def __init__(self, spark, folder, name):
+        self.spark, self.conf = spark, {"spark.checkpoint.dir": folder}
+        self.sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": name, "__getattr__": lambda _, x: getattr(spark.sparkContext, x)})()
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
+
+
+def test_a_local_path_that_is_shared_serves_on_a_cluster(spark, tmp_path):
+    for k, folder in enumerate((f"{tmp_path}/a", f"file://{tmp_path}/b")):
+        (tmp_path / "ab"[k]).mkdir()
+        assert session.scratch_dir(OnCluster(spark, f"{folder}/", f"shared-{k}")) == folder
+        assert not [*(tmp_path / "ab"[k]).iterdir()]  # nothing is left of the asking
+
+
+def test_a_local_path_where_rows_are_lost_is_refused_on_a_cluster(spark, tmp_path, monkeypatch):
+    (tmp_path / "a_file").write_text("")
+    with pytest.raises(ValueError):
+        session.scratch_dir(OnCluster(spark, f"{tmp_path}/a_file", "no-folder"))
+    monkeypatch.setattr(session, "_reads_back", lambda *_: False)
+    with pytest.raises(ValueError):
+        session.scratch_dir(OnCluster(spark, f"{tmp_path}", "lost"))
+
+
 def test_cleanup_removes_intermediate_tables(spark, monkeypatch):
     monkeypatch.setattr(session, "_MADE", {})
     kept = session.materialise(spark.range(3), "t")
