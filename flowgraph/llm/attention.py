@@ -31,9 +31,10 @@ TOP_WORDS, TOP_BYTES = 1 << 18, 64
 CLASSES, CLASS_IDS, WINDOW, STRIDE = 63, 64, 24, 20
 #: Size of a hidden state and of the layer behind attention.
 SIZE, LAYER = 16, 32
-#: One in so many training documents is trained on, windows of a task, of a step, rounds, the first one's rate, and what
-#: it is multiplied with in the next.
-SHARE, TASK_WINDOWS, STEP_WINDOWS, ROUNDS, RATE, SLOWER = 16, 20_000, 128, 2, 0.008, 0.375
+#: The first round of training takes one in so many training documents (a power of two), each later one as many as all
+#: before it, until all are taken; least windows of a task, windows of a step, the first round's rate, and what it is
+#: multiplied with in the next.
+SHARE, TASK_WINDOWS, STEP_WINDOWS, RATE, SLOWER = 16, 20_000, 128, 0.008, 0.375
 #: Bytes of text whose words are counted at a time.
 COUNT_BYTES = 16 << 20
 #: Windows that are scored at a time, numbers of a block of the parameters, and tasks whose blocks meet first.
@@ -194,13 +195,20 @@ def start(counts: np.ndarray, seed: int = 1) -> np.ndarray:
     return flat
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
+def _softmax(x: np.ndarray, exact: bool) -> np.ndarray:
+    """Shares of ``exp`` of each row; see ``_states`` for ``exact``."""
+    if exact:
+        x -= x.max(axis=-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    x /= (x @ np.ones(x.shape[-1], x.dtype))[:, None]
     return x
 
 
+def _sum(x: np.ndarray) -> np.ndarray:
+    """Sums of the columns."""
+    return np.ones(len(x), x.dtype) @ x
+
+
 def _states(p: dict[str, np.ndarray], rows: np.ndarray, exact: bool):
     """Hidden states of windows (rows times WINDOW, SIZE), and what the way back needs.
 
@@ -288,39 +296,49 @@ def _add_rows(to: np.ndarray, at: np.ndarray, what: np.ndarray) -> None:
 
 def gradient(flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient of the mean negative log-probability of all predictions in windows, and that mean."""
+    with np.errstate(all="ignore"):
+        slope, loss = _gradient(flat, rows, False)
+    return (slope, loss) if np.isfinite(loss) and np.isfinite(slope).all() else _gradient(flat, rows, True)
+
+
+def _gradient(flat: np.ndarray, rows: np.ndarray, exact: bool) -> tuple[np.ndarray, float]:
     p, slope = _views(flat), np.zeros_like(flat)
     g = _views(slope)
-    states, (shown, e, q, k, v, a, total, o, h, u) = _states(p, rows, True)
+    states, (shown, e, q, k, v, a, total, o, h, u) = _states(p, rows, exact)
     some = (rows[:, 2:] >= 0).ravel()
     x, targets = states[some], rows[:, 2:].ravel()[some]
     n = len(targets)
-    chance = _softmax(x @ p["classes"] + p["class_bias"])
+    chance = x @ p["classes"]
+    chance += p["class_bias"]
+    chance = _softmax(chance, exact)
     own = (np.arange(n), targets // CLASS_IDS)
     loss = -np.log(chance[own] + 1e-30).sum(dtype=np.float64)
     chance[own] -= 1
-    g["classes"][:], g["class_bias"][:] = x.T @ chance, chance.sum(axis=0)
+    g["classes"][:], g["class_bias"][:] = x.T @ chance, _sum(chance)
     back = chance @ p["classes"].T
     order, ranges = _by_class(targets)
     ordered, inner, more = x[order], targets[order] % CLASS_IDS, np.zeros_like(x)
     for c, begin, end in ranges:
         mine = ordered[begin:end]
-        chance = _softmax(mine @ p["inner"][c] + p["inner_bias"][c])
+        chance = mine @ p["inner"][c]
+        chance += p["inner_bias"][c]
+        chance = _softmax(chance, exact)
         own = (np.arange(end - begin), inner[begin:end])
         loss -= np.log(chance[own] + 1e-30).sum(dtype=np.float64)
         chance[own] -= 1
-        g["inner"][c], g["inner_bias"][c] = mine.T @ chance, chance.sum(axis=0)
+        g["inner"][c], g["inner_bias"][c] = mine.T @ chance, _sum(chance)
         more[begin:end] = chance @ p["inner"][c].T
     back[order] += more
     d = np.zeros_like(states)
     d[some] = back
     g["narrow"][:] = u.T @ d
     du = (d @ p["narrow"].T) * (u > 0)
-    g["wide"][:], g["wide_bias"][:] = h.T @ du, du.sum(axis=0)
+    g["wide"][:], g["wide_bias"][:] = h.T @ du, _sum(du)
     dh = d + du @ p["wide"].T
     g["back"][:] = o.T @ dh
     deep = lambda m: m.reshape(len(rows), WINDOW, SIZE)
     do = deep(dh @ p["back"].T)
-    a = a / total[..., None]
+    a /= total[..., None]
     dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
     da = a * (da - (da * a).sum(axis=-1, keepdims=True))
     scale = e.dtype.type(SIZE**-0.5)
@@ -340,60 +358,66 @@ def gradient(flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, float]:
 def descend(flat: np.ndarray, batches, rate: float, seed: int) -> tuple[np.ndarray, int]:
     """Parameters after a pass over batches of windows, by Adam, and the number of windows; the batches are shuffled."""
     flat, rng = flat.copy(), np.random.default_rng(seed)
-    mean, square, step, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
+    mean, square, by, step, seen = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), 0, 0
     for rows in batches:
         rows = rows[rng.permutation(len(rows))]
         seen += len(rows)
         for i in range(0, len(rows), STEP_WINDOWS):
             slope, _ = gradient(flat, rows[i : i + STEP_WINDOWS])
             step += 1
-            mean += (slope - mean) * np.float32(0.1)
-            square += (slope * slope - square) * np.float32(0.01)
+            mean *= np.float32(0.9)
+            square *= np.float32(0.99)
+            square += np.multiply(np.multiply(slope, slope, out=by), np.float32(0.01), out=by)
+            mean += np.multiply(slope, np.float32(0.1), out=by)
             scale = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            flat -= np.float32(scale) * mean / (np.sqrt(square) + np.float32(1e-8))
+            np.sqrt(square, out=by)
+            by += np.float32(1e-8)
+            np.divide(mean, by, out=by)
+            by *= np.float32(scale)
+            flat -= by
     return flat, seen
 
 
 # --- On Spark --------------------------------------------------------------------------------------------------------
 
 
+def rounds() -> list[tuple[int, int]]:
+    """For each round the range of hashes below ``SHARE`` whose documents it takes; together they are all."""
+    ends = [1 << i for i in range(SHARE.bit_length())]
+    return [*zip([0, *ends], ends, strict=False)]
+
+
 def train(rows: DataFrame, ids: Ids, path: str) -> np.ndarray:
-    """The model's parameters, trained on one in ``SHARE`` of the learnt documents, chosen by hash.
+    """The model's parameters, trained on every learnt document once.
 
-    In each round every task starts from the same parameters and makes one pass over its own windows; the parameters
-    are then averaged, weighted by windows, first those of ``MEET`` tasks, then all. So the work grows with the input
-    in all tasks alike, and only parameters, of fixed size, go to and from the driver.
+    Rounds share out the documents by hash. In each round every task starts from the same parameters and makes one pass
+    over the windows of its own documents, cut as they are read; the parameters are then averaged, weighted by windows,
+    first those of ``MEET`` tasks, then all. So the work grows with the input in all tasks alike, and only parameters,
+    of fixed size, go to and from the driver. Early rounds are short, so that tasks part little before they first meet.
     """
     spark = rows.sparkSession
     sent_ids = spark.sparkContext.broadcast(ids)  # as large as the vocabulary
-
-    def cut(batches):
-        for _, texts in steps(batches):
-            sequence, bounds, _ = sent_ids.value.sequences(*_encoded(encoder(path), units(texts)))
-            found = windows(sequence, bounds)[0].astype("<i2")
-            flat = pa.py_buffer(np.ascontiguousarray(found))
-            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(found.shape[1] * 2), len(found), [None, flat]).cast(pa.binary())], names=["ids"])
-
-    chosen = rows.filter("learn").filter(F.expr(f"pmod(xxhash64(doc_id, text), {SHARE}) = 0"))
-    found = materialise(chosen.select("doc_id", "text").mapInArrow(cut, "ids binary"), "windows")
-    tasks = found.count() // TASK_WINDOWS + 1
+    learnt = rows.filter("learn").select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id, text), {SHARE})").alias("turn"))
     flat = start(ids.counts)
-    for number in range(ROUNDS):
+    for number, (first, last) in enumerate(rounds()):
         sent = spark.sparkContext.broadcast(flat)
         rate = RATE * SLOWER**number
 
         def run(batches, sent=sent, rate=rate, number=number):
             task = TaskContext.get().partitionId()
-            read = (np.frombuffer(b"".join(b.column(0).to_pylist()), "<i2").reshape(-1, WINDOW + 2).astype(np.int64) for b in batches if b.num_rows)
-            ended, seen = descend(sent.value, read, rate, 1000 * number + task)
+            cut = (windows(*sent_ids.value.sequences(*_encoded(encoder(path), units(texts)))[:2])[0] for _, texts in steps(batches))
+            ended, seen = descend(sent.value, cut, rate, 1000 * number + task)
             if seen:
                 blocks = [(ended[i : i + BLOCK].astype(np.float64) * seen).tolist() for i in range(0, len(ended), BLOCK)]
                 names = ["block", "task", "weight", "numbers"]
                 columns = [range(len(blocks)), [task] * len(blocks), [float(seen)] * len(blocks), blocks]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
+        share = (last - first) / SHARE
+        tasks = int(ids.counts.sum() * share / STRIDE) // TASK_WINDOWS + 1  # fewer than the table's only if those are short
+        chosen = learnt.filter((F.col("turn") >= first) & (F.col("turn") < last)).select("doc_id", "text").coalesce(tasks)
         kinds = "block long, task long, weight double, numbers array<double>"
-        ends = found.repartition(tasks).mapInArrow(run, kinds)
+        ends = chosen.mapInArrow(run, kinds)
         ends = ends.groupBy("block", F.expr(f"task div {MEET}")).applyInArrow(_together, kinds).groupBy("block").applyInArrow(_together, kinds)
         told = ends.toArrow().sort_by("block")
         if told.num_rows:

@@ -163,3 +163,41 @@ def test_awkward_rows(spark, awkward):
     nothing = attention.lm_scores(awkward.filter("doc_id IS NULL")).collect()  # nothing to learn from
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in nothing] == [(False, 7, 0, 0)]
     assert nothing[0].base_score == 0 and math.isfinite(nothing[0].score)
+
+
+def test_every_learnt_document_is_trained_on_once(spark, documents, monkeypatch, tmp_path):
+    """Each task writes down the windows it gets; together they are those of all documents that are not held out."""
+    own = attention.descend
+
+    def noted(flat, batches, rate, seed):
+        seen = []
+        done = own(flat, (seen.append(rows) or rows for rows in batches), rate, seed)
+        (tmp_path / str(seed)).write_bytes(b"".join(np.ascontiguousarray(r, "<i8").tobytes() for r in seen))
+        return done
+
+    rows = attention.training(documents, "doc_id", "text").cache()
+    path = tokenizer_path()
+    ids = attention.Ids.of(np.append(attention.id_counts(attention.word_counts(rows.filter("learn")), path), rows.filter("learn").count()))
+    monkeypatch.setattr(attention, "descend", noted)
+    flat = attention.train(rows, ids, path)
+    monkeypatch.undo()
+    assert np.isfinite(flat).all()
+    found = Counter()
+    for file in tmp_path.iterdir():
+        found.update(map(bytes, np.frombuffer(file.read_bytes(), "<i8").reshape(-1, attention.WINDOW + 2)))
+    wanted = Counter()
+    for r in rows.filter("learn").collect():
+        lists = attention.units(pa.array([r.text], pa.large_string()))
+        sequence, bounds, _ = ids.sequences(*attention._encoded(encoder(path), lists))
+        wanted.update(map(bytes, attention.windows(sequence, bounds)[0].astype("<i8")))
+    assert found == wanted
+
+
+def test_quick_and_exact_gradients_agree(model):
+    _, flat = model
+    rows = np.random.default_rng(6).integers(0, attention.TOP_IDS + 1, (8, attention.WINDOW + 2))
+    (quick, loss), (exact, other) = attention._gradient(flat, rows, False), attention._gradient(flat, rows, True)
+    assert loss == pytest.approx(other) and np.allclose(quick, exact)
+    steep = (flat * 1).astype(np.float32)
+    attention._views(steep)["class_bias"][:] += 100  # over what exp holds in 32 bits
+    assert np.isfinite(attention.gradient(steep, rows)[0]).all()
