@@ -22,6 +22,29 @@ def test_missing_keys_make_no_node(make_raw):
     assert column(build_nodes(raw), "node_key") == ["SalesOrder:1", "SalesOrderItem:1|10"]
 
 
+def _items(make_raw):
+    rows = [{"sales_order": str(i), "sales_order_item": "10", "net_amount": str(i)} for i in range(40)]
+    rows += [{"sales_order": str(i), "sales_order_item": "10", "net_amount": f"-{i}"} for i in range(0, 40, 4)]
+    rows += [{"sales_order": "1|2", "sales_order_item": "3", "net_amount": None}, {"sales_order": "1", "sales_order_item": "2|3", "net_amount": "9"}]
+    return make_raw(sales_order_items=[*rows, {"sales_order": "1", "sales_order_item": "10", "net_amount": "1"}])
+
+
+@pytest.mark.parametrize("bits", [None, 32])
+def test_only_rows_of_keys_that_may_recur_are_moved(make_raw, monkeypatch, bits):
+    if bits:  # nearly all keys share a bit with one that recurs
+        monkeypatch.setattr(projection, "MAP_BITS", bits)
+    raw, spec = _items(make_raw), projection.NODE_SPECS["SalesOrderItem"]
+    rows = projection.source_rows(raw, spec, spec.sources[0])
+    again = {r["node_key"]: r["again"] for r in projection.recurring(rows, "node_key").collect()}
+    recur = {f"SalesOrderItem:{i}|10" for i in [1, *range(0, 40, 4)]} | {"SalesOrderItem:1|2|3"}
+    assert all(again[k] for k in recur) and len(again) == 41
+    if not bits:
+        assert {k for k, found in again.items() if found} == recur
+    amounts = {r["node_key"]: json.loads(r["attrs"])["netAmount"] for r in nodes_of_type(raw, "SalesOrderItem").collect()}
+    assert amounts == {f"SalesOrderItem:{i}|10": str(i) if i % 4 else f"-{i}" for i in range(40)} | {"SalesOrderItem:1|2|3": "9"}
+    assert nodes_of_type(raw, "SalesOrderItem").count() == 41
+
+
 def test_delivery_headers_win_over_items(make_raw):
     raw = make_raw(
         outbound_delivery_headers=[{"delivery_document": "A", "shipping_point": "S1"}, {"delivery_document": "C"}],
