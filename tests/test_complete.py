@@ -7,7 +7,7 @@ import pytest
 from conftest import column
 from pyspark.sql import functions as F
 
-from flowgraph import session
+from flowgraph import queries, session
 from flowgraph.functions.values import strip_text
 from flowgraph.operators import display, traversal
 from flowgraph.operators.registry import CODES, edge_type_id, with_type_id
@@ -213,6 +213,19 @@ def test_cleanup_removes_intermediate_tables(spark, monkeypatch):
     assert session.cleanup(spark) == 1 and not session.path_exists(spark, folder)
 
 
+def test_a_stored_graph_whose_files_were_removed_is_written_again(spark, monkeypatch):
+    for kept in ("_GRAPHS", "_LINKS"):
+        monkeypatch.setattr(queries, kept, {})
+    monkeypatch.setattr(session, "_MADE", {})
+    ask = ("edge_counts", "khop_reach")  # from the graph alone, and by its kept links
+    first = [sorted(queries.QUERIES[name](spark, SF).collect()) for name in ask]
+    before = stored_graph(spark, SF)
+    assert stored_graph(spark, SF) is before  # written once
+    assert session.cleanup(spark)
+    assert [sorted(queries.QUERIES[name](spark, SF).collect()) for name in ask] == first
+    assert stored_graph(spark, SF) is not before
+
+
 # Attributes of each node type.
 ATTRIBUTES = {
     "SalesOrder": "salesOrder soldToParty creationDate totalNetAmount transactionCurrency overallDeliveryStatus overallBillingStatus",
