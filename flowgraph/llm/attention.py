@@ -35,7 +35,7 @@ SIZE, LAYER = 16, 32
 #: before it, until all are taken; least windows of a task, windows of a step, the first round's rate, and what it is
 #: multiplied with in the next.
 SHARE, TASK_WINDOWS, STEP_WINDOWS, RATE, SLOWER = 16, 20_000, 128, 0.008, 0.375
-#: Bytes of text whose words are counted at a time.
+#: Bytes of words (with their places) that are counted at a time.
 COUNT_BYTES = 16 << 20
 #: Windows that are scored at a time, numbers of a block of the parameters, and tasks whose blocks meet first.
 BATCH_WINDOWS, BLOCK, MEET = 1024, 1 << 14, 32
@@ -66,7 +66,7 @@ def units(texts: pa.Array) -> pa.LargeListArray:
     whole = whole[kept]
     offsets = np.append(np.flatnonzero(before[kept]), len(whole)).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
-    lists = np.append(np.concatenate([[0], np.cumsum(before)])[starts], len(words))
+    lists = np.append(np.searchsorted(np.flatnonzero(before), starts), len(words))  # no number for each byte
     return pa.LargeListArray.from_arrays(pa.array(lists, pa.int64()), words)
 
 
@@ -78,12 +78,25 @@ def training(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """``unit, c``: how often each word occurs; combined in each batch, then on the map side."""
+    """``unit, c``: how often each word occurs; combined over ``COUNT_BYTES``, then on the map side.
+
+    Texts are cut into words a step at a time, as the cutting takes several times a text's size.
+    """
+
+    def counted(words: list[pa.Array]) -> pa.RecordBatch:
+        found = pa.chunked_array(words, pa.large_string()).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["unit", "c"])
 
     def run(batches):
-        for _, texts in steps(batches, COUNT_BYTES):
-            found = units(texts).flatten().value_counts()
-            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["unit", "c"])
+        held, size = [], 0
+        for _, texts in steps(batches):
+            held.append(units(texts).flatten())
+            size += held[-1].nbytes
+            if size >= COUNT_BYTES:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
     found = rows.select("doc_id", "text").mapInArrow(run, "unit string, c long")
     return found.groupBy("unit").agg(F.sum("c").alias("c"))

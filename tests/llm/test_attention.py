@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -26,6 +27,22 @@ def test_units_are_the_words():
     assert attention.units(pa.array(TEXTS, pa.large_string()).slice(2, 3)).to_pylist() == [[f" {w}" for w in _words(t)] for t in TEXTS[2:5]]
 
 
+def test_cutting_words_takes_a_few_times_the_text():
+    texts = pa.array(["some words of a text " * 40_000] * 3, pa.large_string())
+    tracemalloc.start()
+    found = attention.units(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.flatten()) == 600_000
+    assert peak < 12 * texts.nbytes
+
+
+def test_words_are_counted_over_several_steps(spark):
+    rows = spark.range(3).selectExpr("id AS doc_id", "repeat('a b ', 700000) AS text").coalesce(1)  # a step for each text
+    assert {r.unit: r.c for r in attention.word_counts(rows).collect()} == {" a": 2_100_000, " b": 2_100_000}
+    assert attention.word_counts(rows.limit(0)).collect() == []
+
+
 @pytest.fixture(scope="module")
 def model():
     counts = np.random.default_rng(1).integers(0, 50, 6000)
